@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("bestfit",)
+_MODULES = ("bestfit", "simhash")
 
 
 def _collect(name: str) -> dict:
