@@ -32,14 +32,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/loam/{name}-{uuid.uuid4().hex}"
 
 
+#: Lets Spark drop a job's shuffle files when the job has ended.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    Cuts lineage durably: a lost executor costs no recomputation of ``df``.
+    Cuts lineage durably: a lost executor costs no recomputation of ``df``, and the
+    shuffle files behind it can go.
     """
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = shared_path(spark, name), spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def open_filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
