@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from loam.llm.storage import materialize
 from loam.llm.text import strings, text_slices
-from loam.llm.tokenize import encode_texts
+from loam.llm.tokenize import WordIds, encode_texts
 
 CAPACITY = 2048
 #: Pieces that one bucket of the ranking holds on average.
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 10_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -50,9 +50,10 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     """
 
     def cut(batches):
+        known = WordIds(tokenizer_path)
         for whole in batches:
             for batch in text_slices(whole, "text"):
-                ids, upto = encode_texts(strings(batch.column("text")), tokenizer_path, end_id)
+                ids, upto = encode_texts(strings(batch.column("text")), known, end_id)
                 owner, number, start = piece_bounds(upto, capacity)
                 begin = upto[owner] + start
                 end = np.minimum(begin + capacity, upto[owner + 1])

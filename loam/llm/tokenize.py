@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +27,43 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-def encode_texts(texts: pa.Array, path: str, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+class WordIds:
+    """Ids of words met before, up to ``most`` words; then it starts anew."""
+
+    def __init__(self, path: str, most: int = 300_000) -> None:
+        self.path, self.most = path, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.sizes = np.zeros(0, np.int64)
+        self.table = np.zeros(0, np.uint32)
+
+    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A table of ids, and where each word's begin in it and how many there are."""
+        if len(self.rows) > self.most:
+            self.clear()
+        missing = [w for w in words if w not in self.rows]
+        if missing:
+            found = load_tokenizer(self.path).encode_batch_fast(missing, add_special_tokens=False)
+            ids = [e.ids for e in found]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+            self.rows.update(zip(missing, range(len(self.sizes), len(self.sizes) + len(missing)), strict=True))
+            self.sizes, self.table = np.concatenate([self.sizes, sizes]), np.concatenate([self.table, flat])
+        row = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        return self.table, (np.cumsum(self.sizes) - self.sizes)[row], self.sizes[row]
+
+
+def encode_texts(texts: pa.Array, known: WordIds, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, and each text's range in them.
 
     ``end_id``: appended to every text, also to an empty one.
     """
     words, offsets = split_words(texts)
     coded = words.dictionary_encode()
-    index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    encodings = load_tokenizer(path).encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)
-    ids = [e.ids for e in encodings]
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    table = np.fromiter((x for one in ids for x in one), np.uint32, int(sizes.sum()))
-    begins = np.cumsum(sizes) - sizes
+    index = coded.indices.to_numpy(zero_copy_only=False)
+    table, begins, sizes = known.look_up(coded.dictionary.to_pylist())
     counts = sizes[index]
     flat = table[expand_ranges(begins[index], counts)]
     upto = np.concatenate(([0], np.cumsum(counts)))[offsets]
