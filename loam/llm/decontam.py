@@ -27,16 +27,19 @@ def normal_words(text: Column) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
-def shingle_count(words: Column, k: int) -> Column:
-    """Shingles of a text, repeats included: k words, or all (maybe none) if it has fewer."""
-    return F.greatest(F.size(words) - (k - 1), F.lit(1))
+def _spans(words: Column, k: int, make) -> Column:
+    """``make`` of each run of k words, or of all words if there are fewer.
+
+    The words are bound once, as a lambda variable: an expression named inside a
+    lambda would be evaluated again for each run.
+    """
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: make(F.concat_ws(" ", F.slice(w, i, k))))
+    return F.element_at(F.transform(F.array(words), runs), 1)
 
 
 def shingles(words: Column, k: int) -> Column:
-    """The distinct shingles of a text, space-joined."""
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), shingle_count(words, k)), lambda i: F.concat_ws(" ", F.slice(words, i, k))))
-    )
+    """The distinct shingles of a text, space-joined; none of a text without words."""
+    return F.filter(F.array_distinct(_spans(words, k, lambda s: s)), lambda s: s != "")
 
 
 def allowed_missing(count: Column, threshold: float) -> Column:
@@ -56,8 +59,10 @@ def item_sketches(benchmark: DataFrame, k: int = SHINGLE_WORDS, threshold: float
     return items.select("item_id", "item_shingles", F.slice(hashes, F.lit(1), keep).alias("sketch"))
 
 
-def _containment(words: Column, item_shingles: Column, k: int) -> Column:
-    return F.size(F.array_intersect(item_shingles, shingles(words, k))) / F.size(item_shingles)
+def shingle_hashes(words: Column, k: int) -> Column:
+    """Hashes of a text's shingles, repeats included.  A text without words has that of
+    the empty shingle, which is in no sketch."""
+    return _spans(words, k, F.xxhash64)
 
 
 def contained_items(
@@ -72,26 +77,22 @@ def contained_items(
 
     Words are runs of letters and digits, lower-cased.  An item with fewer words
     than a shingle matches only documents of exactly these words.  Null and empty
-    texts match nothing; repeated rows give one result; empty tables give none;
-    further columns are ignored.
+    texts match nothing; repeated rows give one result, and rows of one id are
+    judged each by its own text; empty tables give none; further columns are ignored.
     """
     sketches = item_sketches(benchmark, k, threshold)
-    worded = docs.select(F.col("doc_id").cast("long"), normal_words(F.col("text")).alias("words"))
-    # A text without words has one empty shingle, which is in no sketch.
-    at = worded.withColumn("at", F.explode(F.sequence(F.lit(1), shingle_count(F.col("words"), k))))
-    hashed = at.select("doc_id", "words", F.xxhash64(F.concat_ws(" ", F.slice("words", F.col("at"), k))).alias("hash"))
-    keyed = sketches.select("item_id", "item_shingles", F.explode("sketch").alias("hash"))
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    hashed = texts.select("doc_id", F.explode(shingle_hashes(normal_words(F.col("text")), k)).alias("hash"))
+    keyed = sketches.select("item_id", F.explode("sketch").alias("hash"))
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size <= broadcast_bytes:
-        # Verified where they are found: a document's text isn't moved.
-        pairs = hashed.join(F.broadcast(keyed), "hash").select(
-            "doc_id", "item_id", _containment(F.col("words"), F.col("item_shingles"), k).alias("containment")
-        )
-        return pairs.where(F.col("containment") >= threshold).distinct()
-    pairs = hashed.select("doc_id", "hash").distinct().join(keyed.select("item_id", "hash"), "hash").select("doc_id", "item_id").distinct()
-    found = pairs.join(worded, "doc_id").join(sketches.select("item_id", "item_shingles"), "item_id")
-    scored = found.select("doc_id", "item_id", _containment(F.col("words"), F.col("item_shingles"), k).alias("containment"))
-    return scored.where(F.col("containment") >= threshold).distinct()
+        keyed = F.broadcast(keyed)
+    else:
+        hashed = hashed.distinct()
+    candidates = hashed.join(keyed, "hash").select("doc_id", "item_id").distinct()
+    pairs = candidates.join(texts, "doc_id").join(sketches.select("item_id", "item_shingles"), "item_id")
+    found = F.size(F.array_intersect("item_shingles", shingles(normal_words(F.col("text")), k))) / F.size("item_shingles")
+    return pairs.select("doc_id", "item_id", found.alias("containment")).where(F.col("containment") >= threshold).distinct()
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
