@@ -27,7 +27,7 @@ from loam.llm.text import strings, text_slices
 
 WINDOW_WORDS = 6
 #: The bounded sample of labelled documents that training reads.
-MAX_TOXIC, MAX_ORDINARY, MAX_SAMPLE_BYTES = 3_000, 6_000, 40 << 20
+MAX_TOXIC, MAX_ORDINARY, MAX_SAMPLE_BYTES = 2_000, 4_000, 12 << 20
 TOXIC_BYTES, ORDINARY_BYTES = 2_048, 8_192
 #: Words mark toxic text if in this share of toxic documents, and this many times as
 #: often as in ordinary ones.
@@ -41,7 +41,9 @@ def _words(texts: pa.Array) -> tuple[list[str], np.ndarray]:
     flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     keep = pc.greater(pc.binary_length(flat), 0)
     before = np.concatenate(([0], np.cumsum(keep.to_numpy(zero_copy_only=False))))
-    return flat.filter(keep).to_pylist(), before[offsets - offsets[0]]
+    coded = flat.filter(keep).dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    return [distinct[k] for k in coded.indices.to_pylist()], before[offsets - offsets[0]]
 
 
 def _window(words: list[str]) -> bytes:
