@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("bestfit", "simhash", "decontam", "substring", "toxicity", "warc", "hmm", "quality")
+_MODULES = ("bestfit", "simhash", "decontam", "substring", "toxicity", "warc", "hmm", "quality", "media")
 
 
 def _collect(name: str) -> dict:
