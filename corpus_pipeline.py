@@ -1,14 +1,58 @@
-"""A training corpus from ``documents``, stage by stage."""
+"""A training corpus from ``documents``, stage by stage.
+
+Every stage takes the documents that the one before kept and returns documents with
+the same columns; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loam.llm.bestfit import pack_documents
+from loam.llm.decontam import without_contaminated
+from loam.llm.quality import without_low_quality
+from loam.llm.simhash import one_of_each
 from loam.llm.storage import shared_path
+from loam.llm.substring import without_repeats
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return without_low_quality(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints stays."""
+    return one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that start in an earlier document are taken out; rows stay."""
+    kept = without_repeats(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, each with its place in a sequence."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("substrings", repeated_passages),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
-#: The quality and fingerprint stages have no SQL form.
+#: The classifier, the fingerprints and the tokenizer have no SQL form.
 ORACLE_SQL: str | None = None
 
 
