@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+_PLANS = ("search", "ranking", "analytics", "dedup", "graphs", "lifecycle", "filters", "profiles", "texts", "streams")
+
+
+def _collect(name: str) -> dict:
+    found: dict = {}
+    for plan in _PLANS:
+        found.update(getattr(import_module(f"loam.plans.{plan}").REGISTRY, name))
+    return found
+
 
 def queries() -> dict:
-    return {}
+    return _collect("queries")
 
 
 def oracle_sql() -> dict:
-    return {}
+    return _collect("oracles")
