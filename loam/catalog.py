@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PLANS = ("search", "ranking", "analytics", "dedup", "graphs", "lifecycle", "filters", "profiles", "texts", "streams")
+_PLANS = ("search", "ranking")
 
 
 def _collect(name: str) -> dict:
