@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PLANS = ("search", "ranking", "analytics", "graphs", "dedup", "lifecycle", "filters")
+_PLANS = ("search", "ranking", "analytics", "graphs", "dedup", "lifecycle", "filters", "texts", "streams")
 
 
 def _collect(name: str) -> dict:
