@@ -31,4 +31,5 @@ def trust(weight: Column, age_days: Column, days: float = 30.0) -> Column:
     """Aggregate: decayed signed weights over decayed absolute ones, mapped from -1..1 to
     0..1; 0.5 without signals."""
     decay = half_life(age_days, days)
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.sum(weight * decay) / F.nullif(F.sum(F.abs(weight) * decay), F.lit(0.0)) + 1) / 2)), F.lit(0.5))
+    balance = F.coalesce(F.sum(weight * decay) / F.nullif(F.sum(F.abs(weight) * decay), F.lit(0.0)), F.lit(0.0))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (balance + 1) / 2))

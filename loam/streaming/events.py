@@ -52,17 +52,17 @@ def gap_markers(stream: DataFrame, seconds: int = 600) -> DataFrame:
 
     def mark(key: tuple, frames, state: GroupState):
         last = state.get[0] if state.exists else None
-        whole = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        whole = pd.concat([f for f in frames if len(f)]).sort_values(["ts", "event_id"])
         out = []
         for event_id, ts in zip(whole["event_id"], whole["ts"], strict=True):
-            now = ts.timestamp()
-            if last is not None and now - last > seconds:
-                out.append((key[0], event_id, now - last))
+            now = ts.value // 1000
+            if last is not None and now - last > seconds * 1_000_000:
+                out.append((key[0], event_id, (now - last) / 1_000_000))
             last = now if last is None else max(last, now)
         state.update((last,))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "gap_s"])
 
-    return stream.groupBy("user_id").applyInPandasWithState(mark, MARKER_SCHEMA, "last double", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("user_id").applyInPandasWithState(mark, MARKER_SCHEMA, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def rate_limit(df: DataFrame, limit: int, seconds: int = 3600) -> DataFrame:
