@@ -172,9 +172,14 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
     return materialize(found.groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("starts")), "starts"), copies
 
 
+#: Added column; further columns of documents may have any other name.
+STARTS = "__loam_starts"
+
+
 def _marked(docs: DataFrame, length: int) -> DataFrame:
     starts, copies = repeated_starts(docs, length)
-    return docs.join(starts.unionByName(copies.select("doc_id", F.array().cast("array<int>").alias("starts"))), "doc_id", "left")
+    every = starts.withColumnRenamed("starts", STARTS).unionByName(copies.select("doc_id", F.array().cast("array<int>").alias(STARTS)))
+    return docs.join(every, "doc_id", "left")
 
 
 def _covered(n: int, starts: np.ndarray | None, length: int) -> np.ndarray:
@@ -192,7 +197,7 @@ def _covered(n: int, starts: np.ndarray | None, length: int) -> np.ndarray:
 def _kept(batch: pa.RecordBatch, length: int):
     """For each document: words, words removed, and the kept text."""
     buffer, begin, end, offsets = joined_words(strings(batch.column("text")))
-    lists = batch.column("starts")
+    lists = batch.column(STARTS)
     values = lists.flatten().to_numpy(zero_copy_only=False)
     valid = lists.is_valid().to_numpy(zero_copy_only=False)
     upto = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
@@ -227,7 +232,7 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 )
 
     narrow = docs.select(F.col("doc_id").cast("long"), "text")
-    return _marked(narrow, length).select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _marked(narrow, length).select("doc_id", "text", STARTS).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -242,12 +247,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for batch in text_slices(whole, "text"):
                 texts = batch.column("text").to_pylist()
                 out = [kept.decode() if gone else text for text, (_, gone, kept) in zip(texts, _kept(batch, length), strict=True)]
-                columns = {n: batch.column(n) for n in batch.schema.names if n not in ("text", "starts")}
+                columns = {n: batch.column(n) for n in batch.schema.names if n not in ("text", STARTS)}
                 yield pa.RecordBatch.from_pydict(columns | {"text": pa.array(out, pa.string())})
 
     others = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", text string"
-    names = [*[f.name for f in others], "text", "starts"]
+    names = [*[f.name for f in others], "text", STARTS]
     return _marked(docs, length).select(*names).mapInArrow(run, schema).select(*docs.columns)
 
 
