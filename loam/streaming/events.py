@@ -23,15 +23,20 @@ def drain(df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> Da
     return df.sparkSession.read.schema(df.schema).parquet(sink)
 
 
+def _stamp(df: DataFrame):
+    """``ts`` as a timestamp; as it is where it is one, so that its watermark stays."""
+    return F.col("ts") if dict(df.dtypes)["ts"] == "timestamp" else F.col("ts").cast("timestamp")
+
+
 def windows(df: DataFrame, size: str = "1 day", slide: str | None = None) -> DataFrame:
     """Tumbling or sliding counts by type."""
-    w = F.window(F.col("ts").cast("timestamp"), size, slide or size)
+    w = F.window(_stamp(df), size, slide or size)
     return df.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
 def sessions(df: DataFrame, gap: str = "600 seconds") -> DataFrame:
     """Sessions of each user, ended by a gap."""
-    found = df.groupBy(F.session_window(F.col("ts").cast("timestamp"), gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    found = df.groupBy(F.session_window(_stamp(df), gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return found.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
