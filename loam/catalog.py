@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PLANS = ("search", "ranking", "analytics", "graphs", "dedup", "lifecycle", "filters", "profiles", "texts", "streams")
+_PLANS = ("search", "ranking", "recall", "analytics", "graphs", "dedup", "lifecycle", "filters", "profiles", "texts", "streams")
 
 
 def _collect(name: str) -> dict:
