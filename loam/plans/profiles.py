@@ -22,11 +22,11 @@ def team_capabilities(spark, sf_dir):
 
 
 @REGISTRY.query("""
-WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey % 20 = 0)
+WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)
 SELECT a.l_suppkey AS agent, b.l_suppkey AS partner, count(*) AS tasks FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2""")
 def pair_collaboration(spark, sf_dir):
     """Tasks that two agents share; a task has a handful of agents."""
-    p = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", "l_suppkey").distinct()
+    p = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     a, b = p.select("l_orderkey", F.col("l_suppkey").alias("agent")), p.select("l_orderkey", F.col("l_suppkey").alias("partner"))
     return a.join(b, "l_orderkey").where("agent < partner").groupBy("agent", "partner").agg(F.count("*").alias("tasks"))
 
@@ -73,11 +73,11 @@ def feedback_adjust(spark, sf_dir):
 
 
 @REGISTRY.query("""
-WITH s AS (SELECT event_type, count(*) AS n, round(avg(value) / 100, 6) AS w FROM events WHERE user_id < 30 GROUP BY 1), d(event_type, base) AS (VALUES ('view', 0.1), ('click', 0.2), ('purchase', 0.9), ('share', 0.4))
+WITH s AS (SELECT event_type, count(*) AS n, round(avg(value) / 100, 6) AS w FROM events GROUP BY 1), d(event_type, base) AS (VALUES ('view', 0.1), ('click', 0.2), ('purchase', 0.9), ('share', 0.4))
 SELECT event_type, CASE WHEN n >= 100 THEN w ELSE base::DOUBLE END AS weight FROM d LEFT JOIN s USING (event_type)""")
 def learned_weights(spark, sf_dir):
     """Learned weights where there are samples enough, else the defaults."""
-    s = table(spark, sf_dir, "events").where("user_id < 30").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value") / 100, 6).alias("w"))
+    s = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value") / 100, 6).alias("w"))
     d = spark.createDataFrame([("view", 0.1), ("click", 0.2), ("purchase", 0.9), ("share", 0.4)], "event_type string, base double")
     return d.join(s, "event_type", "left").select("event_type", F.when(F.col("n") >= 100, F.col("w")).otherwise(F.col("base")).alias("weight"))
 

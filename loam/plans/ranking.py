@@ -155,9 +155,9 @@ def propensity(spark, sf_dir):
 
 
 TOKENS = """
-WITH tok AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM documents WHERE lang = 'en'),
-q AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''))) AS w FROM benchmark WHERE item_id < 10),
-tf AS (SELECT doc_id, w, count(*) AS tf FROM tok GROUP BY doc_id, w), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w), n AS (SELECT count(*) AS n FROM documents WHERE lang = 'en')
+WITH tok AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM documents),
+q AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''))) AS w FROM benchmark),
+tf AS (SELECT doc_id, w, count(*) AS tf FROM tok GROUP BY doc_id, w), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w), n AS (SELECT count(*) AS n FROM documents)
 """
 
 
@@ -171,9 +171,12 @@ def tokens(text):
 SELECT item_id, doc_id, round(s, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 3) DESC, doc_id) AS r FROM s) WHERE r <= 10""")
 def tfidf_search(spark, sf_dir):
     """Ten best documents per question by (1 + ln tf) * ln(1 + N / (1 + df))."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    tf = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("tf"))
-    words = table(spark, sf_dir, "benchmark").where("item_id < 10").select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
+    docs = table(spark, sf_dir, "documents")
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
+    asked = words.select("w").distinct()
+    # Only words that are asked for are counted.
+    found = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("w")).join(asked, "w", "left_semi")
+    tf = found.groupBy("doc_id", "w").agg(F.count("*").alias("tf"))
     df = tf.groupBy("w").agg(F.count("*").alias("df"))
     n = docs.count()
     part = (1 + F.log(F.col("tf"))) * F.log(1 + F.lit(n) / (1 + F.col("df")))

@@ -32,13 +32,13 @@ def agent_boost(spark, sf_dir):
 
 
 @REGISTRY.query(HITS + """
-, v AS (SELECT query_id, id, s FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM hits) WHERE r <= 20), g AS (SELECT query_id, id, 0.7 + 0.1 * (label % 3) AS g FROM hits WHERE id % 37 = 0)
+, v AS (SELECT query_id, id, s FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM hits) WHERE r <= 20), g AS (SELECT query_id, id, 0.7 + 0.1 * (label % 3) AS g FROM hits WHERE label = 2)
 SELECT query_id, id, round(CASE WHEN s IS NOT NULL AND g IS NOT NULL THEN s * 1.2 ELSE coalesce(s, g) END, 6)::DOUBLE AS score FROM v FULL JOIN g USING (query_id, id)""")
 def graph_merge(spark, sf_dir):
     """Graph hits lift what the search found, or join it at their own score."""
     label = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
     v = top_per_key(_hits(spark, sf_dir, k=20), ["query_id"], [F.desc("score"), F.asc("id")], 20)
-    g = _hits(spark, sf_dir).join(label, "id").where("id % 37 = 0").select("query_id", "id", (0.7 + 0.1 * (F.col("label") % 3)).alias("g"))
+    g = _hits(spark, sf_dir).join(label, "id").where("label = 2").select("query_id", "id", (0.7 + 0.1 * (F.col("label") % 3)).alias("g"))
     lifted = F.when(F.col("score").isNotNull() & F.col("g").isNotNull(), F.col("score") * 1.2).otherwise(F.coalesce("score", "g"))
     return v.join(g, ["query_id", "id"], "full_outer").select("query_id", "id", F.round(lifted, 6).alias("score"))
 
@@ -54,12 +54,13 @@ def insight_surfacing(spark, sf_dir):
 
 
 @REGISTRY.query(HITS + """
-, t AS (SELECT query_id, id, s, CASE WHEN id < 250 THEN 1.0 WHEN id < 300 THEN 0.7 ELSE 0.0 END AS rel FROM hits)
+, t AS (SELECT query_id, id, s, CASE WHEN label < 3 THEN 1.0 WHEN label < 5 THEN 0.7 ELSE 0.0 END AS rel FROM hits)
 SELECT query_id, id, round(0.3 * greatest(s, 0.1) + 0.5 * rel + 0.2 * 0.5, 6)::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, s DESC, id) AS r FROM t WHERE rel > 0) WHERE r <= 120""")
 def temporal_blend(spark, sf_dir):
     """Semantic, temporal and importance shares for rows near a time window."""
-    rel = F.when(F.col("id") < 250, 1.0).when(F.col("id") < 300, 0.7).otherwise(0.0)
-    found = _hits(spark, sf_dir).withColumn("rel", rel).where("rel > 0")
+    rel = F.when(F.col("label") < 3, 1.0).when(F.col("label") < 5, 0.7).otherwise(0.0)
+    label = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    found = _hits(spark, sf_dir).join(label, "id").withColumn("rel", rel).where("rel > 0")
     found = top_per_key(found, ["query_id"], [F.desc("rel"), F.desc("score"), F.asc("id")], 120)
     return _score(found.withColumn("score", 0.3 * F.greatest(F.col("score"), F.lit(0.1)) + 0.5 * F.col("rel") + 0.2 * 0.5))
 
@@ -121,22 +122,18 @@ def rerank_fusion(spark, sf_dir):
 
 
 @REGISTRY.query("""
-WITH t AS (SELECT item_id, doc_id, list_distinct(list_transform(range(1, greatest(length(a) - 1, 1)), lambda i: substr(a, i, 3))) AS x, list_distinct(list_transform(range(1, greatest(length(b) - 1, 1)), lambda i: substr(b, i, 3))) AS y
- FROM (SELECT i.item_id, d.doc_id, lower(substr(i.text, 1, 40)) AS a, lower(substr(d.text, 1, 40)) AS b FROM benchmark i, documents d WHERE i.item_id < 4 AND d.doc_id < 200))
-SELECT item_id, doc_id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS similarity FROM t WHERE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) >= 0.15""")
+WITH g AS (SELECT c_custkey AS id, c_nationkey AS k, list_distinct(list_transform(range(1, greatest(length(c_name) - 1, 2)), lambda i: substr(lower(c_name), i, 3))) AS x FROM customer)
+SELECT a.id AS id1, b.id AS id2, round(len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x))), 6) AS similarity FROM g a JOIN g b ON a.k = b.k AND a.id < b.id
+WHERE len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x))) >= 0.85""")
 def trigram_match(spark, sf_dir):
-    """Names that share enough trigrams, of a handful of names and stored names."""
-
-    def grams(c):
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
-
-    items = table(spark, sf_dir, "benchmark").where("item_id < 4").select("item_id", F.lower(F.substring("text", 1, 40)).alias("a"))
-    docs = table(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", F.lower(F.substring("text", 1, 40)).alias("b"))
-    x = items.select("item_id", grams(F.col("a")).alias("x")).withColumn("g", F.explode("x"))
-    y = docs.select("doc_id", grams(F.col("b")).alias("y")).withColumn("g", F.explode("y"))
-    shared = x.join(y, "g").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"), F.first(F.size("x") + F.size("y")).alias("both"))
-    found = shared.withColumn("s", F.col("n") / (F.col("both") - F.col("n")))
-    return found.where("s >= 0.15").select("item_id", "doc_id", F.round("s", 6).alias("similarity"))
+    """Names of one scope that share enough trigrams."""
+    name = F.lower("c_name")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 2, F.lit(1))), lambda i: F.substring(name, i, F.lit(3))))
+    g = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("k"), grams.alias("x"))
+    a, b = g.select("k", F.col("id").alias("id1"), F.col("x").alias("x1")), g.select("k", F.col("id").alias("id2"), F.col("x").alias("x2"))
+    share = F.size(F.array_intersect("x1", "x2")) / F.size(F.array_union("x1", "x2"))
+    found = a.join(b, "k").where("id1 < id2").withColumn("s", share).where("s >= 0.85")
+    return found.select("id1", "id2", F.round("s", 6).alias("similarity"))
 
 
 @REGISTRY.query("""

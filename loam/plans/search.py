@@ -130,12 +130,13 @@ def fallback_union(spark, sf_dir):
 
 
 @REGISTRY.query("""
-WITH p AS (SELECT a.vec_id AS id1, b.vec_id AS id2, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
-  FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id < 5000 AND b.vec_id < 5000)
+WITH newest AS (SELECT * FROM embeddings ORDER BY vec_id DESC LIMIT 5000), p AS (SELECT a.vec_id AS id1, b.vec_id AS id2, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
+  FROM newest a JOIN newest b ON a.vec_id < b.vec_id)
 SELECT id1, id2, round(s, 6) AS score FROM p WHERE s >= 0.35""")
 def near_dup_pairs(spark, sf_dir):
-    """Unordered pairs over a threshold, of at most 5,000 rows as the operator says."""
-    return similar_pairs(table(spark, sf_dir, "embeddings").where("vec_id < 5000"), 0.35).select("id1", "id2", F.round("score", 6).alias("score"))
+    """Unordered pairs over a threshold, of the newest 5,000 rows as the operator says."""
+    newest = table(spark, sf_dir, "embeddings").orderBy(F.desc("vec_id")).limit(5000)
+    return similar_pairs(newest, 0.35).select("id1", "id2", F.round("score", 6).alias("score"))
 
 
 def similar_pairs(rows, threshold, id_col="vec_id", vector_col="embedding"):

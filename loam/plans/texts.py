@@ -68,9 +68,9 @@ def label_top_words(spark, sf_dir):
     return best.groupBy("source").agg(F.array_join(ordered, " ").alias("label"))
 
 
-@REGISTRY.query("SELECT conv_id, turn, concat_ws(' | ', role, 'turn ' || turn, substr(text, 1, 40)) AS enriched FROM conversations")
+@REGISTRY.query("SELECT conv_id, turn, concat_ws(' | ', role, 'turn ' || turn, text) AS enriched FROM conversations")
 def enrichment_prefix(spark, sf_dir):
-    text = F.concat_ws(" | ", "role", F.concat(F.lit("turn "), F.col("turn")), F.substring("text", 1, 40))
+    text = F.concat_ws(" | ", "role", F.concat(F.lit("turn "), F.col("turn")), F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("enriched"))
 
 
@@ -84,13 +84,16 @@ def durability_signals(spark, sf_dir):
 
 
 @REGISTRY.query("""
-SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON strpos(lower(d.text), lower(split_part(b.text, ' ', 1) || ' ' || split_part(b.text, ' ', 2) || ' ' || split_part(b.text, ' ', 3))) > 0 WHERE b.item_id < 5""")
+WITH n AS (SELECT item_id, array_to_string(string_split(lower(text), ' ')[1:3], ' ') AS name FROM benchmark),
+d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS name FROM (SELECT doc_id, string_split(lower(text), ' ') AS w, unnest(range(1, greatest(len(string_split(text, ' ')) - 1, 2))) AS i FROM documents))
+SELECT item_id, doc_id FROM n JOIN d USING (name)""")
 def entity_mentions(spark, sf_dir):
-    """Documents that mention one of a handful of names."""
-    items = table(spark, sf_dir, "benchmark").where("item_id < 5").select("item_id", F.lower(F.substring_index("text", " ", 3)).alias("name")).collect()
-    names = F.array(*[F.struct(F.lit(r["item_id"]).cast("long").alias("item_id"), F.lit(r["name"]).alias("name")) for r in items])
-    found = F.filter(names, lambda n: F.contains(F.lower("text"), n["name"]))
-    return table(spark, sf_dir, "documents").select(F.explode(found).alias("n"), "doc_id").select("n.item_id", "doc_id")
+    """Documents that hold a name of three words, found by their runs of three."""
+    words = lambda: F.split(F.lower("text"), " ", -1)
+    names = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(words(), 1, 3), " ").alias("name"))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " "))
+    held = F.array_distinct(F.element_at(F.transform(F.array(words()), runs), 1))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(held).alias("name")).join(names, "name").select("item_id", "doc_id")
 
 
 @REGISTRY.query()
