@@ -64,8 +64,8 @@ def daily_gaps(df: DataFrame, ts: str, first: str, last: str) -> DataFrame:
     days = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
     counts = df.groupBy(F.to_date(ts).alias("day")).agg(F.count("*").alias("n"))
     filled = days.join(counts, "day", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    mean = filled.agg(F.avg("n").alias("mean"))
-    limit = F.greatest(F.lit(1), F.floor(0.5 * F.col("mean")))
-    return filled.join(F.broadcast(mean), how="cross").select(
+    mean = filled.agg(F.avg("n")).first()[0] or 0.0
+    limit = max(1, int(0.5 * mean))
+    return filled.select(
         F.date_format("day", "yyyy-MM-dd").alias("day"), "n", F.when(F.col("n") == 0, "gap").when(F.col("n") < limit, "sparse").otherwise("ok").alias("state")
     )

@@ -119,9 +119,9 @@ def hotspot_score(spark, sf_dir):
     s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(
         F.countDistinct("l_orderkey").alias("a"), F.countDistinct("l_suppkey").alias("b"), F.sum("l_quantity").alias("q")
     )
-    top = s.agg(F.max("a").alias("ma"), F.max("b").alias("mb"), F.max("q").alias("mq"))
-    score = F.round(0.5 * F.col("a") / F.col("ma") + 0.3 * F.col("b") / F.col("mb") + 0.2 * F.col("q") / F.col("mq"), 6)
-    scored = s.join(F.broadcast(top), how="cross").select("part", score.alias("score"))
+    top = s.agg(F.max("a"), F.max("b"), F.max("q")).first()
+    score = F.round(0.5 * F.col("a") / F.lit(top[0]) + 0.3 * F.col("b") / F.lit(top[1]) + 0.2 * F.col("q") / F.lit(top[2]), 6)
+    scored = s.select("part", score.alias("score"))
     return scored.where("score >= 0.6").orderBy(F.desc("score"), "part").limit(50)
 
 
@@ -175,9 +175,9 @@ def distribution_drift(spark, sf_dir):
     """Half the summed differences of shares, recent against before."""
     recent = F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")
     per = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(recent).alias("a"), F.count_if(~recent).alias("b"))
-    total = per.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    step = F.abs(F.round(F.col("a") / F.col("ta"), 2) - F.round(F.col("b") / F.col("tb"), 2))
-    return per.join(F.broadcast(total), how="cross").agg(F.round(F.least(F.lit(1.0), 0.5 * F.sum(step)), 6).alias("drift"))
+    total = per.agg(F.sum("a"), F.sum("b")).first()
+    step = F.abs(F.round(F.col("a") / F.lit(total[0]), 2) - F.round(F.col("b") / F.lit(total[1]), 2))
+    return per.agg(F.round(F.least(F.lit(1.0), 0.5 * F.sum(step)), 6).alias("drift"))
 
 
 @REGISTRY.query("""
