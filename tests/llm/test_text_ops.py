@@ -139,6 +139,10 @@ def brute_removal(rows, length):
     return sorted(out, key=str)
 
 
+def test_substring_against_sql(spark, sf_dir):
+    assert_same(substring.op5_substring(spark, sf_dir), substring.OP5_SQL, sf_dir)
+
+
 def shared_passages():
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice("abcd") for _ in range(rng.choice([0, 3, 12, 13, 14, 40, 200])))) for i in range(80)]
