@@ -158,17 +158,21 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
     a smaller id, whose windows are left out of the first."""
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     bodies = named.select("doc_id", F.unhex(F.md5("text")).alias("body"))
-    copied = bodies.groupBy("body").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # What is joined to a hot key is written first: Spark splits the partitions of a join
+    # only if neither side is aggregated within it.
+    copied = materialize(bodies.groupBy("body").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copied")
     copies = materialize(bodies.join(copied, "body").where("doc_id > first").select("doc_id").distinct(), "copies")
 
     anchors = _anchors(named, length)
     repeated = anchors.groupBy("hash").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").select("hash")
+    repeated = materialize(repeated, "repeated")
     near = anchors.join(repeated, "hash").select("doc_id", "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
     near = materialize(near.join(copies, "doc_id", "left_anti"), "candidates")
 
     windows = _windows(named.join(near, "doc_id"), length)
     first = windows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    found = windows.join(first.drop("last"), ["high", "low"]).where("doc_id > first").select("doc_id", "start")
+    first = materialize(first.drop("last"), "firsts")
+    found = windows.join(first, ["high", "low"]).where("doc_id > first").select("doc_id", "start")
     return materialize(found.groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("starts")), "starts"), copies
 
 
