@@ -12,14 +12,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link neighbours of each node to the smallest of them.
 
     Large: all larger neighbours, over edges in both directions.  Small: the
-    node itself and its smaller neighbours.  The minimum is pre-aggregated and
-    then joined, so a hub's neighbours are never gathered.
+    node itself and its smaller neighbours.  The minimum is pre-aggregated, written,
+    and then joined, so a hub's neighbours are split over tasks and never gathered.
     """
     if large:
         edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     if large:
         least = least.select("u", F.least("u", "m").alias("m"))
+    least = materialize(least, "least")
+    if large:
         moved = edges.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -225,7 +225,8 @@ def fingerprint_links(nodes: DataFrame) -> DataFrame:
             F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("pattern")) for k, (m, _) in enumerate(tops)])
         ).alias("top"),
     ).select("id", "fp", "top.mask", "top.pattern")
-    sizes = entries.groupBy("mask", "pattern").agg(F.count("*").alias("members")).where("members > 1")
+    # Written, so that Spark splits a crowded node in the join: it doesn't where a side is aggregated within it.
+    sizes = materialize(entries.groupBy("mask", "pattern").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
     entries = entries.join(sizes, ["mask", "pattern"])
     sub_mask = [F.element_at(F.array(*[F.lit(s[k]) for _, s in tops]), F.col("mask") + 1) for k in range(3)]
     subs = F.when(
