@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.storage import commit_parts, list_parts, open_filesystem, shared_path
+from loam.llm.storage import commit_parts, list_parts, materialize, open_filesystem, shared_path
 from loam.llm.text import strings, text_slices
 
 SUFFIX = ".warc.gz"
@@ -241,6 +241,8 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         .where("__first < __last")
         .drop("__last")
     )
+    # Written, so that Spark can split a payload that very many pages share in the join.
+    repeated = materialize(repeated, "payloads")
     first = F.when(F.col("page_id") > F.col("__first"), F.col("__first"))
     return named.join(repeated, "__body", "left").withColumn("refers_to", first).drop("__body", "__first")
 
