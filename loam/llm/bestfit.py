@@ -52,7 +52,7 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     def cut(batches):
         known = WordIds(tokenizer_path)
         for whole in batches:
-            for batch in text_slices(whole, "text"):
+            for batch in text_slices(whole, "text", 8 << 20):
                 ids, upto = encode_texts(strings(batch.column("text")), known, end_id)
                 owner, number, start = piece_bounds(upto, capacity)
                 begin = upto[owner] + start

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``max_bytes`` of text, so that what a
     task holds does not depend on the batch size.  One row is never cut."""
     n = batch.num_rows
