@@ -30,7 +30,7 @@ def load_tokenizer(path: str):
 class WordIds:
     """Ids of words met before, up to ``most`` words; then it starts anew."""
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         self.path, self.most = path, most
         self.clear()
 
