@@ -13,7 +13,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from loam.llm.text import expand_ranges, split_words
+from loam.llm.text import as_list, expand_ranges, split_words
 
 
 @lru_cache(maxsize=4)
@@ -63,7 +63,7 @@ def encode_texts(texts: pa.Array, known: WordIds, end_id: int | None = None) ->
     words, offsets = split_words(texts)
     coded = words.dictionary_encode()
     index = coded.indices.to_numpy(zero_copy_only=False)
-    table, begins, sizes = known.look_up(coded.dictionary.to_pylist())
+    table, begins, sizes = known.look_up(as_list(coded.dictionary))
     counts = sizes[index]
     flat = table[expand_ranges(begins[index], counts)]
     upto = np.concatenate(([0], np.cumsum(counts)))[offsets]
