@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm.storage import materialize
-from loam.llm.text import joined_words, split_words, strings, text_slices
+from loam.llm.text import as_list, joined_words, split_words, strings, text_slices
 
 LENGTH = 13
 
@@ -40,7 +40,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of each word."""
     coded = words.dictionary_encode()
-    digests = b"".join([xxhash.xxh3_128_digest(w) for w in coded.dictionary.to_pylist()])
+    digests = b"".join([xxhash.xxh3_128_digest(w) for w in as_list(coded.dictionary)])
     table = np.frombuffer(digests, "<u8").reshape(-1, 2)
     index = coded.indices.to_numpy(zero_copy_only=False)
     return table[index, 0], table[index, 1]

@@ -60,7 +60,7 @@ def joined_words(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.nda
     words, offsets = split_words(texts)
     lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(lengths + 1) - 1
-    buffer = " ".join(words.to_pylist()).encode()
+    buffer = " ".join(as_list(words)).encode()
     return buffer, ends - lengths, ends, offsets
 
 
