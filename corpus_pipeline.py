@@ -24,7 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
+    """One document of each group stays, linked by a Jaccard similarity of 5-word shingles of 0.8 or more."""
     return one_of_each(docs)
 
 
@@ -52,7 +52,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The classifier, the fingerprints and the tokenizer have no SQL form.
+#: The classifier, the components and the tokenizer have no SQL form.
 ORACLE_SQL: str | None = None
 
 

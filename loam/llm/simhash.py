@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loam.llm import jaccard
 from loam.llm.components import connected_components
 from loam.llm.storage import materialize
 from loam.llm.text import joined_words, strings, text_slices
@@ -261,13 +262,14 @@ def near_duplicate_components(docs: DataFrame, shingle: int = SHINGLE_WORDS) ->
     )
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component.
+def one_of_each(docs: DataFrame, shingle: int = jaccard.SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component, by the exact
+    similarity of their shingles (:mod:`loam.llm.jaccard`).
 
     Of repeated rows with one id the first by text stays.  Rows with a null id can't
     stand for a group and stay.
     """
-    found = near_duplicate_components(docs, shingle)
+    found = jaccard.similar_components(docs, shingle)
     kept = found.where("component_id is null or doc_id = component_id").select("doc_id").distinct()
     clashing = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
     with_id = docs.where("doc_id is not null").join(kept.where("doc_id is not null"), "doc_id", "left_semi")

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loam.llm import bestfit, components, decontam, hmm, simhash, substring, token_matrix
+from loam.llm import bestfit, components, decontam, hmm, jaccard, simhash, substring, token_matrix
 from oracle import assert_same
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -117,6 +117,50 @@ def test_one_of_each_keeps_columns_and_one_row(spark):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 4, 5, 6, 8]
 
 
+def brute_kept(rows):
+    """Ids that stay if texts of 5-word Jaccard 0.8 or more are linked."""
+    sets = {}
+    for i, text in rows:
+        w = WORD.findall(lowered(text))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and (a == b or 9 * len(a & b) >= 4 * (len(a) + len(b))):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return sorted(i for i in sets if find(i) == i)
+
+
+def edited_copies():
+    """Texts of 1 to 200 words, each with copies of ever more changed words, and lines
+    that many texts share."""
+    rng = random.Random(11)
+    line = " ".join(f"line{k}" for k in range(12))
+    out = []
+    for _ in range(60):
+        words = [f"{rng.randrange(10**6):x}" for _ in range(rng.choice([1, 3, 5, 6, 9, 30, 80, 200]))]
+        for _ in range(5):
+            out.append(" ".join([*words, line] if rng.random() < 0.3 else words))
+            words = list(words)
+            words[rng.randrange(len(words))] = "changed"
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("rows", [edited_copies(), near_copies()])
+def test_one_of_each_against_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(jaccard, "SAMPLE", 2)
+    kept = sorted(r["doc_id"] for r in simhash.one_of_each(frame(spark, rows)).collect())
+    assert kept == brute_kept(rows)
+
+
 # op5
 
 
