@@ -1,14 +1,17 @@
-"""Vector expressions, and the block search of a bounded query set."""
+"""Vector expressions, the block search of a bounded query set, and the self-join."""
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of query vectors that are sent to every task; more are searched in parts.
 QUERY_BYTES = 32 << 20
+#: Rows of a block of a self-join.
+BLOCK_ROWS = 2_048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -85,6 +88,37 @@ def block_search(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: s
     return found if k is None else top_per_key(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
+def block_join(rows: DataFrame, id_col: str, vector_col: str, min_score: float) -> DataFrame:
+    """``(id1, id2, score)`` with id1 < id2: all pairs of rows over a cosine.
+
+    Rows are dealt by the hash of their id into blocks of about BLOCK_ROWS, and each
+    pair of blocks is multiplied in a task, so a table of any size is taken and the
+    driver sees only its count.  Rows whose vector is invalid or of another size
+    are left out.
+    """
+    good = rows.where(valid_vector(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    dims, n = good.agg(F.max(F.size("v")), F.count("*")).first()
+    if not n:
+        return rows.sparkSession.createDataFrame([], "id1 long, id2 long, score double")
+    blocks = -(-n // BLOCK_ROWS)
+    placed = good.where(F.size("v") == dims).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    one = placed.select(F.col("id").alias("id1"), F.col("v").alias("v1"), F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("j"))
+    two = placed.select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
+
+    def multiply(key, a, b):
+        found = {"id1": np.zeros(0, np.int64), "id2": np.zeros(0, np.int64), "score": np.zeros(0)}
+        if len(a) and len(b):
+            scores = _unit(np.stack(a["v1"].to_numpy()).astype(float)) @ _unit(np.stack(b["v2"].to_numpy()).astype(float)).T
+            x, y = a["id1"].to_numpy(), b["id2"].to_numpy()
+            keep = scores >= min_score
+            keep &= x[:, None] < y if key[0] == key[1] else x[:, None] != y
+            k, m = np.nonzero(keep)
+            found = {"id1": np.minimum(x[k], y[m]), "id2": np.maximum(x[k], y[m]), "score": scores[k, m]}
+        return pd.DataFrame(found)
+
+    return one.groupBy("i", "j").cogroup(two.groupBy("i", "j")).applyInPandas(multiply, "id1 long, id2 long, score double")
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """The first ``k`` rows of each key; ``rank`` names the column that numbers them."""
     name = rank or "__rank"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loam.functions.vectors import block_search, cosine_distance, cosine_similarity, l2_normalize, top_per_key, valid_vector
+from loam.functions.vectors import block_join, block_search, cosine_distance, cosine_similarity, l2_normalize, top_per_key, valid_vector
 from loam.registry import Registry
 from loam.sources.tables import table
 
@@ -140,9 +140,8 @@ def near_dup_pairs(spark, sf_dir):
 
 
 def similar_pairs(rows, threshold, id_col="vec_id", vector_col="embedding"):
-    """``(id1, id2, score)`` with id1 < id2, of a bounded set of rows."""
-    found = block_search(rows, rows, id_col, vector_col, threshold).where("query_id < id")
-    return found.select(F.col("query_id").alias("id1"), F.col("id").alias("id2"), "score")
+    """``(id1, id2, score)`` with id1 < id2, of any number of rows."""
+    return block_join(rows, id_col, vector_col, threshold)
 
 
 @REGISTRY.query(HITS + """

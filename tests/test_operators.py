@@ -127,3 +127,19 @@ def test_streams_give_the_rows_of_their_batch_twins(spark, sf_dir, tmp_path):
     days = {(r["start"], r["event_type"]): r["n"] for r in events.windows(batch).collect()}
     streamed = {(r["start"], r["event_type"]): r["n"] for r in drained(events.windows(events.event_stream(spark, sf_dir)), "days").collect()}
     assert streamed and streamed.items() <= days.items()
+
+
+def test_similar_pairs_of_more_rows_than_a_query_set(spark, monkeypatch):
+    import numpy as np
+
+    from loam.functions import vectors
+    from loam.plans.search import similar_pairs
+
+    monkeypatch.setattr(vectors, "QUERY_BYTES", 1_000)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 16)
+    v = np.random.default_rng(3).normal(size=(60, 4))
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = {(i, j) for i in range(60) for j in range(i + 1, 60) if unit[i] @ unit[j] >= 0.8}
+    found = [(r["id1"], r["id2"]) for r in similar_pairs(rows, 0.8).collect()]
+    assert len(found) == len(near) and set(found) == near
