@@ -143,3 +143,17 @@ def test_similar_pairs_of_more_rows_than_a_query_set(spark, monkeypatch):
     near = {(i, j) for i in range(60) for j in range(i + 1, 60) if unit[i] @ unit[j] >= 0.8}
     found = [(r["id1"], r["id2"]) for r in similar_pairs(rows, 0.8).collect()]
     assert len(found) == len(near) and set(found) == near
+
+
+def test_near_dup_pairs_reach_rows_older_than_the_newest_5000(spark, tmp_path):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from loam.plans.search import near_dup_pairs
+
+    v = np.random.default_rng(4).normal(size=(5_003, 64))
+    v[1] = v[0]
+    pq.write_table(pa.table({"vec_id": np.arange(5_003), "embedding": v.tolist()}), tmp_path / "embeddings.parquet")
+    assert near_dup_pairs(spark, str(tmp_path)).where("id1 = 0 and id2 = 1").count() == 1
+    assert near_dup_pairs(spark, str(tmp_path), newest=5_000).where("id1 < 3").count() == 0
