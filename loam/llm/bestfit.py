@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loam.llm.storage import materialize
+from loam.llm.storage import Scratch
 from loam.llm.text import strings, text_slices
 from loam.llm.tokenize import WordIds, encode_texts
 
@@ -211,11 +211,13 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Every piece of every document with its place in a sequence.
 
-    Only documents over ``capacity`` tokens are cut.  Null texts are empty ones;
-    equal rows each get a place of their own; an empty table gives no rows; other
-    columns are ignored.
+    Only documents over ``capacity`` tokens are cut, of any length and without loss.
+    Null texts are empty ones; a null id stays null; equal rows each get a place of
+    their own; of pieces of one length those come first whose ids, then numbers, are
+    smaller within a hashed bucket; an empty table gives no rows; other columns are
+    ignored.
     """
-    pieces = materialize(document_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
+    pieces = Scratch(docs.sparkSession, "bestfit").keep(document_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return place_pieces(pieces, capacity).select(*columns)
 

@@ -1,21 +1,26 @@
-"""Near copies by the exact Jaccard similarity of their word shingles.
-
-Sets of distinct shingles are linked if their similarity is at least SHARE; links
-are closed by connected components.  No pair that reaches it is missed:
-
-* Equal sets are one node.
-* Each set is sorted in one order of all shingles.  Similar sets have a shingle
-  in common within the first few of both (the prefix), at places that leave room
-  for the overlap, and differ little in size.  The order puts shingles last that
-  are frequent in a sample, so that common lines seldom lie in a prefix; the
-  sample decides how much is compared and not what is found.
-* Sets are first compared with a few heads of each prefix shingle, which links
-  large groups in as many rows as they have members.  Then all pairs that are
-  not in one component yet are compared.
+"""Near copies: fingerprints propose, the exact similarity of shingle sets decides.
+
+Sets of distinct shingles are linked if their Jaccard similarity is at least SHARE;
+links are closed by connected components.  No pair that reaches it is missed:
+
+* Equal sets are one node.  Each node has a SimHash fingerprint of its shingles, and
+  the caller's index proposes links between near fingerprints.  Exact similarity
+  keeps the right ones, so large groups of copies are joined at once.
+* For what lies further apart, two bounds leave out most nodes.  Similar sets have a
+  shingle in common among their smallest hashes, as many as may be missing and one
+  more.  And all but a share of a set's shingles must be in other such sets too.
+* In what is left, shingles are ordered by the number of sets they are in, rarest
+  first.  Similar sets share one of their first few (the prefix), at places that leave
+  room for the overlap, and differ little in size.
+* Sets of one component need not be compared.  In a few rounds all sets with a prefix
+  shingle are compared with one of them, which joins groups in as many rows as they
+  have members.  Then all pairs that are in different components still are compared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,19 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.components import connected_components
-from loam.llm.storage import materialize
+from loam.llm.storage import Scratch
 from loam.llm.substring import _word_hashes, window_hashes
 from loam.llm.text import expand_ranges, split_words, strings, text_slices
 
 SHINGLE_WORDS = 5
 #: Least similarity, as a fraction.
 SHARE = (4, 5)
-#: One document in so many tells frequent shingles, and so many of them go last.
-SAMPLE, FREQUENT = 16, 1 << 16
-#: Heads of members with the same prefix.
-HEADS = 4
-#: Bits of a shingle's key that hold its hash; those above hold its frequency.
-HASH_BITS = 60
+#: Rounds in which sets are compared with one other of those that share a shingle.
+ROUNDS = 3
 
 
 def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +57,7 @@ def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarra
         own = np.minimum(sizes, shingle)[owner] == length
         if own.any():
             out[own] = window_hashes(hashes, length)[at[own]]
-    return out & np.uint64((1 << HASH_BITS) - 1), owner
+    return out, owner
 
 
 def _distinct(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,53 +69,74 @@ def _distinct(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nda
     return values[new], owner[new]
 
 
-def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that repeat in a sample, and a level from 1 to 15 by how often."""
+def majority_bits(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of the hashes of each range, the bits that are set in more than half."""
+    out = np.zeros(len(offsets) - 1, np.uint64)
+    sizes = np.diff(offsets)
+    for k in range(64):
+        ones = np.concatenate(([0], np.cumsum((hashes >> np.uint64(k)) & np.uint64(1), dtype=np.int64)))
+        most = 2 * (ones[offsets[1:]] - ones[offsets[:-1]]) > sizes
+        out |= most.astype(np.uint64) << np.uint64(k)
+    return out
 
-    def run(batches):
-        for whole in batches:
-            for batch in text_slices(whole, "text"):
-                values, _ = _distinct(*shingle_hashes(strings(batch.column("text")), shingle))
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["shingle"])
 
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "shingle long")
-    often = sample.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
-    shingles = often.column("shingle").to_numpy().view(np.uint64)
-    levels = np.minimum(15, np.log2(np.maximum(often.column("n").to_numpy(), 2)).astype(np.int64)).astype(np.uint64)
-    order = np.argsort(shingles)
-    return shingles[order], levels[order]
+def needed_overlap(n):
+    """Shingles of a set of n that a similar set must share with it."""
+    return -(-n * SHARE[0] // SHARE[1])
 
 
-def shingle_sets(docs: DataFrame, shingle: int, order: tuple[np.ndarray, np.ndarray], whole_sets: bool) -> DataFrame:
-    """``(doc_id, k1, k2, n, shingles)``: a 128-bit hash of the set, its size, and its
-    shingles in the order of all shingles, or only the prefix of them."""
-    frequent, levels = order
+def set_rows(docs: DataFrame, shingle: int) -> DataFrame:
+    """``(doc_id, k1, k2, n, fp, least)``: a 128-bit hash of each document's set of
+    shingles, its size, its fingerprint, and its smallest hashes, as many as a similar
+    set may lack and one more."""
 
     def run(batches):
         for whole in batches:
             for batch in text_slices(whole, "text"):
-                values, owner = shingle_hashes(strings(batch.column("text")), shingle)
-                if len(frequent):
-                    near = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
-                    values = values | np.where(frequent[near] == values, levels[near] << np.uint64(HASH_BITS), np.uint64(0))
-                values, owner = _distinct(values, owner)
-                ends = np.cumsum(np.bincount(owner, minlength=batch.num_rows))
-                offsets = np.r_[0, ends]
+                values, owner = _distinct(*shingle_hashes(strings(batch.column("text")), shingle))
+                offsets = np.r_[0, np.cumsum(np.bincount(owner, minlength=batch.num_rows))]
                 sizes = np.diff(offsets)
-                digests = b"".join([xxhash.xxh3_128_digest(values[a:b].tobytes()) for a, b in zip(offsets[:-1], ends, strict=True)])
+                digests = b"".join([xxhash.xxh3_128_digest(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
                 keys = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                if not whole_sets:
-                    cut = np.where(sizes > 0, sizes + 1 - -(-sizes * SHARE[0] // SHARE[1]), 0)
-                    values = values[expand_ranges(offsets[:-1], cut)]
-                    offsets = np.r_[0, np.cumsum(cut)]
-                sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
-                columns = [batch.column("doc_id"), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sizes, pa.int32()), sets]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "n", "shingles"])
-
-    schema = "doc_id long, k1 long, k2 long, n int, shingles array<long>"
+                cut = np.where(sizes > 0, sizes + 1 - needed_overlap(sizes), 0)
+                least = pa.array(values[expand_ranges(offsets[:-1], cut)].view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id"),
+                        pa.array(keys[:, 0]),
+                        pa.array(keys[:, 1]),
+                        pa.array(sizes, pa.int32()),
+                        pa.array(majority_bits(values, offsets).view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(cut)], pa.int32()), least),
+                    ],
+                    names=["doc_id", "k1", "k2", "n", "fp", "least"],
+                )
+
+    schema = "doc_id long, k1 long, k2 long, n int, fp long, least array<long>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
+def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """``(node, n, shingles)`` of the nodes, made again from their documents' texts."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in text_slices(whole, "text"):
+                values, owner = _distinct(*shingle_hashes(strings(batch.column("text")), shingle))
+                offsets = np.r_[0, np.cumsum(np.bincount(owner, minlength=batch.num_rows))]
+                digests = b"".join([xxhash.xxh3_128_digest(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+                keys = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                mine = np.flatnonzero((keys[:, 0] == batch.column("k1").to_numpy()) & (keys[:, 1] == batch.column("k2").to_numpy()))
+                sizes = np.diff(offsets)[mine]
+                kept = pa.array(values[expand_ranges(offsets[mine], sizes)].view(np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), kept)
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(mine)), pa.array(sizes, pa.int32()), lists], names=["node", "n", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(nodes.select(F.col("id").alias("doc_id"), "node", "k1", "k2"), "doc_id")
+    # A repeated row makes its set again.
+    return texts.mapInArrow(run, "node long, n int, shingles array<long>").dropDuplicates(["node"])
+
+
 def _enough(overlap, n1: str, n2: str):
     """Whether sets of these sizes with this overlap reach SHARE."""
     return overlap * (SHARE[0] + SHARE[1]) >= (F.col(n1) + F.col(n2)) * SHARE[0]
@@ -125,59 +147,113 @@ def _possible():
     return _enough(F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")), "n1", "n2")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets reach SHARE.  Whole sets are made again, of
-    the documents that are compared alone: kept for all they would fill the disk."""
-    either = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = materialize(nodes.join(either, "node", "left_semi"), "needed")
-    held = materialize(sets(needed).join(needed, ["k1", "k2", "n"]).select("node", "n", "shingles"), "compared")
-    one, two = (held.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("shingles").alias(f"s{k}")) for k in "ab")
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets reach SHARE."""
+    one, two = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("shingles").alias(f"s{k}")) for k in "ab")
     both = pairs.join(one, "a").join(two, "b")
-    return both.where(_enough(F.size(F.array_intersect("sa", "sb")), "na", "nb")).select("a", "b").distinct()
+    return both.where(_enough(F.size(F.array_intersect("sa", "sb")), "na", "nb")).select("a", "b")
+
+
+def _near_fingerprints(nodes: DataFrame, index: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of nodes with one fingerprint or with such as the index links."""
+    some = nodes.where("n > 0").select("node", "fp")
+    heads = some.groupBy("fp").agg(F.min("node").alias("head"))
+    same = some.join(heads, "fp").where("node > head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    return same.unionByName(index(heads.select(F.col("head").alias("id"), "fp")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct()
+
+
+def _shared_prefixes(scratch: Scratch, sets: DataFrame) -> DataFrame:
+    """``(node, n, p, shingle)``: the prefix shingles of each set that are in others too,
+    with their places, of the sets that have enough such shingles; a kept table."""
+    listed = sets.select("node", F.explode("shingles").alias("shingle"))
+    often = scratch.keep(listed.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    shared = listed.join(often, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
+    whole = F.col("n") - F.size("shared")  # shingles that no other set has come first
+    missing = F.col("n") - F.ceil(F.col("n") * SHARE[0] / SHARE[1])
+    few = shared.join(sets.select("node", "n"), "node").where(whole <= missing)
+    places = few.select("node", "n", whole.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), missing + 1 - whole)).alias("p", "s"))
+    out = scratch.keep(places.select("node", "n", (F.col("alone") + F.col("p")).cast("int").alias("p"), F.col("s.shingle").alias("shingle")), "places")
+    scratch.drop("often")
+    return out
+
+
+def _labelled(scratch: Scratch, places: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """Of the prefix shingles those whose sets are in different components, with each
+    set's component; a kept table."""
+    found = connected_components(links, "a", "b")
+    labelled = scratch.keep(places.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), f"labels-{name}")
+    mixed = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
+    mixed = scratch.keep(mixed, f"shingles-{name}")
+    out = scratch.keep(labelled.join(mixed, "shingle"), f"mixed-{name}")
+    scratch.drop(f"labels-{name}", f"shingles-{name}")
+    return out
+
+
+def _links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, index: Callable[[DataFrame], DataFrame], shingle: int) -> DataFrame:
+    """Pairs (a, b) of nodes that reach SHARE, enough to join all that do."""
+    near = scratch.keep(_near_fingerprints(nodes, index), "near")
+    least = nodes.select("node", F.explode("least").alias("shingle"))
+    met = scratch.keep(least.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1").select("shingle"), "met")
+    wanted = least.join(met, "shingle").select("node").unionByName(near.select(F.col("a").alias("node"))).unionByName(near.select(F.col("b").alias("node")))
+    wanted = scratch.keep(nodes.drop("least", "fp").join(wanted.distinct(), "node", "left_semi"), "wanted")
+    scratch.drop("met")
+    sets = scratch.keep(whole_sets(docs, wanted, shingle), "sets")
+    links = [scratch.keep(_verified(near, sets), "links-near")]
+    places = _shared_prefixes(scratch, sets)
+
+    compared = near
+    for k in range(ROUNDS):
+        mixed = _labelled(scratch, places, _union(links), str(k))
+        head = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "node", "n", "p", "label")).alias("head")
+        heads = scratch.keep(mixed.groupBy("shingle").agg(head), f"heads-{k}")
+        sides = mixed.join(heads, "shingle").where("label <> head.label").select(
+            F.col("node").alias("a"), F.col("n").alias("n1"), F.col("p").alias("p1"),
+            F.col("head.node").alias("b"), F.col("head.n").alias("n2"), F.col("head.p").alias("p2"),
+        )
+        pairs = sides.where(_possible()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = scratch.keep(pairs.join(compared, ["a", "b"], "left_anti"), f"pairs-{k}")
+        links.append(scratch.keep(_verified(pairs, sets), f"links-{k}"))
+        compared = compared.unionByName(pairs)
+        scratch.drop(f"mixed-{k}", f"heads-{k}")
+
+    mixed = _labelled(scratch, places, _union(links), "last")
+    one, two = (mixed.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "p", "label")]) for k in (1, 2))
+    across = one.join(two, "shingle").where("node1 > node2 and label1 <> label2").where(_possible())
+    rest = across.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
+    links.append(scratch.keep(_verified(scratch.keep(rest, "pairs-last"), sets), "links-last"))
+    scratch.drop("near", "wanted", "sets", "places", "mixed-last", "pairs-last", *[f"pairs-{k}" for k in range(ROUNDS)])
+    return _union(links)
 
 
-def similar_components(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def similar_components(docs: DataFrame, index: Callable[[DataFrame], DataFrame], shingle: int = SHINGLE_WORDS) -> DataFrame:
     """``(doc_id, component_id)`` for every row of ``docs``.
 
+    ``index`` links rows of ``(id, fp)`` with near fingerprints, as pairs of ids.
     component_id is the smallest doc_id that links reach, the row's own included.
     Null texts count as empty, and texts without words equal each other.  Rows with
-    a null id get the component of rows with the same set, but form no links.
+    a null id get the component of rows with the same set, but form no links.  Rows of
+    one id are judged each by its own text; texts of any length are read whole; an
+    empty table gives no rows; further columns are ignored.
     """
-    order = frequent_shingles(docs, shingle)
-    prefixes = shingle_sets(docs, shingle, order, whole_sets=False)
-    rows = materialize(prefixes.withColumn("row", F.monotonically_increasing_id()), "prefixes")
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    rows = scratch.keep(set_rows(docs, shingle).withColumn("row", F.monotonically_increasing_id()), "rows")
     # A set is known by its first row, as one id may have several texts.
     named = rows.where("doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("id"))
-    nodes = materialize(named, "nodes")
-    firsts = rows.where("n > 0").withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi")
-    places = materialize(firsts.select("node", "n", "shingles"), "firsts").select("node", "n", F.posexplode("shingles").alias("p", "shingle"))
-
-    def sets(needed: DataFrame) -> DataFrame:
-        own = docs.select(F.col("doc_id").cast("long"), "text").join(needed.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-        return shingle_sets(own, shingle, order, whole_sets=True)
-
-    head = F.min(F.struct(F.xxhash64("node", F.pmod("shingle", F.lit(HEADS))).alias("order"), "node", "n", "p")).alias("head")
-    heads = materialize(places.groupBy("shingle").agg(F.count("*").alias("members"), head).where("members > 1").select("shingle", "head"), "heads")
-    shared = materialize(places.join(heads, "shingle"), "shared")
-    sides = shared.select(
-        F.col("node").alias("a"), F.col("n").alias("n1"), F.col("p").alias("p1"),
-        F.col("head.node").alias("b"), F.col("head.n").alias("n2"), F.col("head.p").alias("p2"),
-    )
-    to_heads = sides.where("a <> b").where(_possible()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    compared = materialize(to_heads, "pairs")
-    links = materialize(_verified(compared, nodes, sets), "links")
-
-    found = connected_components(links, "a", "b")
-    labelled = shared.join(found, "node", "left").select("shingle", "node", "n", "p", F.coalesce("component", "node").alias("label"))
-    labelled = materialize(labelled, "labelled")
-    mixed = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
-    mixed = materialize(labelled.join(mixed, "shingle"), "mixed")
-    one, two = (mixed.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "p", "label")]) for k in (1, 2))
-    across = one.join(two, "shingle").where("node1 > node2 and label1 <> label2").where(_possible())
-    rest = across.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-    more = _verified(materialize(rest, "pairs"), nodes, sets)
-
-    labels = connected_components(links.unionByName(more), "a", "b")
-    placed = materialize(nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    named = scratch.keep(named, "named")
+    firsts = rows.select(F.col("row").alias("node"), "fp", "least").join(named, "node")
+    nodes = scratch.keep(firsts.select("node", "id", "k1", "k2", "n", "fp", "least"), "nodes")
+    links = _links(scratch, docs, nodes, index, shingle)
+    labels = connected_components(links, "a", "b")
+    placed = scratch.keep(named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
-    return rows.select("doc_id", "k1", "k2", "n").join(placed.join(least, "component"), ["k1", "k2", "n"], "left").select("doc_id", "component_id")
+    found = scratch.keep(placed.join(least, "component").select("k1", "k2", "n", "component_id"), "found")
+    out = scratch.keep(rows.select("doc_id", "k1", "k2", "n").join(found, ["k1", "k2", "n"], "left").select("doc_id", "component_id"), "components")
+    scratch.drop("rows", "named", "nodes", "placed", "found", "links-near", "links-last", *[f"links-{k}" for k in range(ROUNDS)])
+    return out

@@ -85,14 +85,14 @@ def write_archives(docs: DataFrame, directory: str) -> None:
     """One archive per task, with a member per row of ``(doc_id, text)``.
 
     Members are named ``<doc_id>/<bytes of the text>.png``; a null id has no digits.
-    Only the archives of tasks that succeeded are moved to their place.
+    Only the archives of tasks that succeeded get into the manifest.
     """
 
     def write(batches):
         system, root = open_filesystem(directory)
-        system.create_dir(f"{root}/_attempts", recursive=True)
+        system.create_dir(root, recursive=True)
         name, rows = f"{uuid.uuid4().hex}{SUFFIX}", 0
-        with system.open_output_stream(f"{root}/_attempts/{name}", compression=None) as out:
+        with system.open_output_stream(f"{root}/{name}", compression=None) as out:
             for whole in batches:
                 for batch in text_slices(whole, "text"):
                     for doc_id, text in zip(batch.column("doc_id").to_pylist(), strings(batch.column("text")).to_pylist(), strict=True):
@@ -100,10 +100,12 @@ def write_archives(docs: DataFrame, directory: str) -> None:
                         out.write(_member(f"{'' if doc_id is None else doc_id}/{len(raw)}.png", encode_png(pad(raw))))
                         rows += 1
             out.write(bytes(2 * BLOCK))
+        if not rows:
+            system.delete_file(f"{root}/{name}")
         yield pa.RecordBatch.from_pydict({"part": pa.array([name] if rows else [], pa.string())})
 
     parts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(write, "part string").collect()
-    commit_parts(directory, [r["part"] for r in parts], SUFFIX)
+    commit_parts(directory, [r["part"] for r in parts])
 
 
 def _header(block: bytes) -> tarfile.TarInfo | None:

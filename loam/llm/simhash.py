@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from loam.llm import jaccard
 from loam.llm.components import connected_components
-from loam.llm.storage import materialize
+from loam.llm.storage import Scratch
 from loam.llm.text import joined_words, strings, text_slices
 
 MAX_DISTANCE = 2
@@ -227,7 +227,8 @@ def fingerprint_links(nodes: DataFrame) -> DataFrame:
         ).alias("top"),
     ).select("id", "fp", "top.mask", "top.pattern")
     # Written, so that Spark splits a crowded node in the join: it doesn't where a side is aggregated within it.
-    sizes = materialize(entries.groupBy("mask", "pattern").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
+    sizes = entries.groupBy("mask", "pattern").agg(F.count("*").alias("members")).where("members > 1")
+    sizes = Scratch(nodes.sparkSession, "top-nodes").keep(sizes, "sizes")
     entries = entries.join(sizes, ["mask", "pattern"])
     sub_mask = [F.element_at(F.array(*[F.lit(s[k]) for _, s in tops]), F.col("mask") + 1) for k in range(3)]
     subs = F.when(
@@ -250,11 +251,14 @@ def near_duplicate_components(docs: DataFrame, shingle: int = SHINGLE_WORDS) ->
     component_id is the smallest doc_id that links reach, the row's own included.
     Null texts count as empty: their fingerprint is zero and is linked like any
     other.  Rows with a null id keep a fingerprint and get the component of rows
-    with the same one, but form no links.  Repeated rows stay; an empty table
-    gives no rows; further columns are ignored.
+    with the same one, but form no links.  Rows of one id with different texts are
+    judged each by its own fingerprint and may lie in different components.  Texts of
+    any length are read whole, repeated rows stay, an empty table gives no rows,
+    further columns are ignored.
     """
-    fps = materialize(fingerprints(docs, shingle), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null"), "nodes")
+    scratch = Scratch(docs.sparkSession, "simhash")
+    fps = scratch.keep(fingerprints(docs, shingle), "fingerprints")
+    nodes = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null"), "nodes")
     labels = connected_components(fingerprint_links(nodes), "a", "b")
     named = nodes.join(labels, nodes["id"] == labels["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(named, "fp", "left").select(
@@ -263,13 +267,15 @@ def near_duplicate_components(docs: DataFrame, shingle: int = SHINGLE_WORDS) ->
 
 
 def one_of_each(docs: DataFrame, shingle: int = jaccard.SHINGLE_WORDS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, by the exact
-    similarity of their shingles (:mod:`loam.llm.jaccard`).
+    """The rows of ``docs`` whose doc_id is the smallest of its component.
 
-    Of repeated rows with one id the first by text stays.  Rows with a null id can't
-    stand for a group and stay.
+    Documents are linked by a Jaccard similarity of their shingles of 0.8 or more
+    (:mod:`loam.llm.jaccard`): the index above proposes links of fingerprints of these
+    shingles, exact similarity decides on them, and what lies further apart than the
+    index reaches is found by shared shingles.  Of repeated rows with one id the first
+    by text stays.  Rows with a null id can't stand for a group and stay.
     """
-    found = jaccard.similar_components(docs, shingle)
+    found = jaccard.similar_components(docs, fingerprint_links, shingle)
     kept = found.where("component_id is null or doc_id = component_id").select("doc_id").distinct()
     clashing = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
     with_id = docs.where("doc_id is not null").join(kept.where("doc_id is not null"), "doc_id", "left_semi")

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster.  Only where neither that
-    setting nor a checkpoint folder exists (a local session, as in tests) a
-    temporary folder is set for this application.
+    ``spark.checkpoint.dir`` names it on a cluster.  Only in a local session, as in
+    tests, a temporary folder is set where neither that setting nor a checkpoint
+    folder exists: executors elsewhere would not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -22,6 +22,8 @@ def shared_root(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = "file://" + tempfile.mkdtemp(prefix="loam-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -32,24 +34,37 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/loam/{name}-{uuid.uuid4().hex}"
 
 
-#: Lets Spark drop a job's shuffle files when the job has ended.
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark keeps it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Lets Spark drop a job's shuffle files when the job has ended.  Set for the session
+#: by the first table that is kept, and left on.
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+class Scratch:
+    """Tables of one run, in a folder of its own below the shared one.
 
-    Cuts lineage durably: a lost executor costs no recomputation of ``df``, and the
-    shuffle files behind it can go.
+    A kept table cuts lineage durably: a lost executor costs no recomputation of it,
+    and the shuffle files behind it can go.  A run drops each table as soon as
+    nothing reads it any more; what its result still reads stays.
     """
-    spark = df.sparkSession
-    path, before = shared_path(spark, name), spark.conf.get(_FREE_SHUFFLES, "false")
-    spark.conf.set(_FREE_SHUFFLES, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_FREE_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root = spark, shared_path(spark, name)
+        spark.conf.set(_FREE_SHUFFLES, "true")
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as the table ``name`` and read back."""
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, f"{self.root}/{name}")
 
 
 def open_filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -60,22 +75,28 @@ def open_filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def commit_parts(directory: str, parts: list[str], suffix: str) -> None:
-    """Move the parts of successful tasks from ``_attempts`` into ``directory``.
+def commit_parts(directory: str, parts: list[str]) -> None:
+    """Name the parts of successful tasks in a manifest.
 
-    ``parts`` has one name per task, so it grows with tasks and not with rows.
-    What failed or repeated attempts left behind is removed.
+    Parts are written under their final names.  ``parts`` has one name per task, so it
+    grows with tasks and not with rows.  What failed or repeated attempts left behind
+    is in no manifest and is not read.
     """
     system, path = open_filesystem(directory)
     system.create_dir(path, recursive=True)
-    for k, part in enumerate(sorted(parts)):
-        system.move(f"{path}/_attempts/{part}", f"{path}/part-{k:06d}{suffix}")
-    if system.get_file_info(f"{path}/_attempts").type != pafs.FileType.NotFound:
-        system.delete_dir(f"{path}/_attempts")
+    with system.open_output_stream(f"{path}/_manifest-{uuid.uuid4().hex}") as out:
+        out.write("\n".join(sorted(parts)).encode())
 
 
 def list_parts(directory: str, suffix: str) -> list[tuple[str, int]]:
-    """(path, bytes) of each committed part, in order of name."""
+    """(path, bytes) of each part that a manifest names, in order of name; of all files
+    with the suffix where there is no manifest, as in archives from elsewhere."""
     system, path = open_filesystem(directory)
-    infos = system.get_file_info(pafs.FileSelector(path, allow_not_found=True))
-    return sorted((i.path, i.size) for i in infos if i.is_file and i.path.endswith(suffix))
+    infos = [i for i in system.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if i.is_file]
+    manifests = [i.path for i in infos if i.base_name.startswith("_manifest-")]
+    named: set[str] = set()
+    for manifest in manifests:
+        with system.open_input_stream(manifest) as stream:
+            named.update(stream.read().decode().split("\n"))
+    found = [i for i in infos if i.path.endswith(suffix) and (not manifests or i.base_name in named)]
+    return sorted((i.path, i.size) for i in found)

@@ -1,16 +1,18 @@
 """Removal of passages that repeat across documents, by level-wise doubling.
 
-A window of ``length`` words can only repeat if the shorter windows in it do.
-The first level therefore looks at windows of half the length, rounded up to
-four: of those in each full window only the one with the smallest hash, so that
-neighbouring windows share it and equal windows choose alike.  Only what repeats
-in different texts at one level is extended to twice that length, up to
-``length``.  Beyond it the same step is repeated by :func:`repeat_lengths` until
-no candidates survive.
-
-Per level one row of hashes is shuffled per candidate; which documents hold a
+A window of ``length`` words can only repeat if the shorter windows in it do.  For
+13 words the levels are 4, 8 and 13: at each level every window of the full length
+that is still a candidate is known by one shorter window in it, the one with the
+smallest hash, so that neighbours share it and equal windows choose alike.  Only
+candidates whose chosen window repeats in different texts go on to twice that
+length, and each level reads nothing but what the level before kept.
+:func:`repeat_lengths` doubles on from ``length`` in the same way until no
+candidates survive.
+
+Per level one row of hashes is shuffled per chosen window; which documents hold a
 window is settled by a pre-aggregated minimum and a join, so a window that very
-many documents share is never gathered.
+many documents share is never gathered.  Whole copies are settled by their text's
+hash first.  A document is known by its id and the hash of its text.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.storage import materialize
+from loam.llm.storage import Scratch
 from loam.llm.text import as_list, joined_words, split_words, strings, text_slices
 
 LENGTH = 13
@@ -83,107 +85,139 @@ def _full_windows(offsets: np.ndarray, length: int) -> np.ndarray:
     return np.repeat(offsets[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
 
 
-def _chosen(h: np.ndarray, length: int) -> np.ndarray:
-    """For the window at each word, the smallest hash of its first-level windows."""
-    k = first_level(length)
-    return _sliding_min(window_hashes(h, k), length - k + 1) if len(h) >= length else h[:0]
+def levels(length: int) -> list[int]:
+    """Words of the windows looked at in turn: each twice the one before, the last ``length``."""
+    out = [first_level(length)]
+    while out[-1] < length:
+        out.append(min(2 * out[-1], length))
+    return out
 
 
-def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    """``(hash, doc_id, body)``: the chosen first-level windows of each document;
-    ``body`` identifies its text."""
+def _chosen(h: np.ndarray, length: int, level: int) -> np.ndarray:
+    """For the window at each word, the smallest hash of the windows of ``level`` words in it."""
+    return _sliding_min(window_hashes(h, level), length - level + 1) if len(h) >= length else h[:0]
+
+
+def _listed(values: np.ndarray, owner: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Which values are in the list of their owner."""
+    held = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(values.dtype)
+    own = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
+    cut = np.searchsorted(owner, np.arange(len(lists) + 1))
+    keep = np.zeros(len(values), bool)
+    for d in range(len(lists)):
+        keep[cut[d] : cut[d + 1]] = np.isin(values[cut[d] : cut[d + 1]], held[own[d] : own[d + 1]])
+    return keep
+
+
+def _candidates(batch: pa.RecordBatch, length: int, before: int | None):
+    """Two hashes of each word; where windows start that the level ``before`` has kept
+    (all without one), whose they are, and the documents' word offsets."""
+    words, offsets = split_words(strings(batch.column("text")))
+    h, g = _word_hashes(words)
+    at = _full_windows(offsets, length)
+    owner = np.repeat(np.arange(batch.num_rows), np.maximum(np.diff(offsets) - length + 1, 0))
+    if before is not None and len(at):
+        keep = _listed(_chosen(h, length, before)[at], owner, batch.column("hashes"))
+        at, owner = at[keep], owner[keep]
+    return h, g, at, owner, offsets
+
+
+def _anchors(docs: DataFrame, length: int, level: int, before: int | None = None) -> DataFrame:
+    """``(hash, doc_id, body)``: the windows of ``level`` words that candidates choose."""
 
     def run(batches):
         for whole in batches:
             for batch in text_slices(whole, "text"):
-                texts = strings(batch.column("text"))
-                words, offsets = split_words(texts)
-                at = _full_windows(offsets, length)
+                h, _, at, owner, _ = _candidates(batch, length, before)
                 if not len(at):
                     continue
-                chosen = _chosen(_word_hashes(words)[0], length)[at]
-                owner = np.repeat(np.arange(len(texts)), np.maximum(np.diff(offsets) - length + 1, 0))
+                chosen = _chosen(h, length, level)[at]
                 new = np.r_[True, (chosen[1:] != chosen[:-1]) | (owner[1:] != owner[:-1])]
-                body = np.array([xxhash.xxh3_64_intdigest(t) for t in texts.to_pylist()], np.uint64)
+                of = pa.array(owner[new])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(chosen[new].view(np.int64)),
-                        batch.column("doc_id").take(pa.array(owner[new])),
-                        pa.array(body[owner[new]].view(np.int64)),
-                    ],
+                    [pa.array(chosen[new].view(np.int64)), batch.column("doc_id").take(of), batch.column("body").take(of)],
                     names=["hash", "doc_id", "body"],
                 )
 
     return docs.mapInArrow(run, "hash long, doc_id long, body long")
 
 
-def _windows(candidates: DataFrame, length: int) -> DataFrame:
-    """``(high, low, doc_id, start)`` of the windows whose chosen first-level window is
-    among the document's ``hashes``."""
+def _windows(docs: DataFrame, length: int, before: int) -> DataFrame:
+    """``(high, low, doc_id, body, start)`` of the candidates at their full length."""
 
     def run(batches):
         for whole in batches:
             for batch in text_slices(whole, "text"):
-                words, offsets = split_words(strings(batch.column("text")))
-                h, g = _word_hashes(words)
-                at = _full_windows(offsets, length)
-                chosen = _chosen(h, length)[at]
-                owner = np.repeat(np.arange(batch.num_rows), np.maximum(np.diff(offsets) - length + 1, 0))
-                lists = batch.column("hashes")
-                near = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-                rows = np.arange(batch.num_rows + 1)
-                own, cut = np.searchsorted(of, rows), np.searchsorted(owner, rows)
-                keep = np.zeros(len(at), bool)
-                for d in range(batch.num_rows):
-                    keep[cut[d] : cut[d + 1]] = np.isin(chosen[cut[d] : cut[d + 1]], near[own[d] : own[d + 1]])
-                at, owner = at[keep], owner[keep]
-                high, low = window_hashes(h, length), window_hashes(g, length)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(high[at].view(np.int64)),
-                        pa.array(low[at].view(np.int64)),
-                        batch.column("doc_id").take(pa.array(owner)),
-                        pa.array((at - offsets[owner]).astype(np.int32)),
-                    ],
-                    names=["high", "low", "doc_id", "start"],
-                )
+                h, g, at, owner, offsets = _candidates(batch, length, before)
+                yield _window_rows(batch, window_hashes(h, length), window_hashes(g, length), at, owner, offsets)
+
+    return docs.mapInArrow(run, "high long, low long, doc_id long, body long, start int")
+
+
+def _window_rows(batch: pa.RecordBatch, high: np.ndarray, low: np.ndarray, at: np.ndarray, owner: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    of = pa.array(owner)
+    start = pa.array((at - offsets[owner]).astype(np.int32))
+    columns = [pa.array(high[at].view(np.int64)), pa.array(low[at].view(np.int64)), batch.column("doc_id").take(of), batch.column("body").take(of), start]
+    return pa.RecordBatch.from_arrays(columns, names=["high", "low", "doc_id", "body", "start"])
+
 
-    return candidates.select("doc_id", "text", "hashes").mapInArrow(run, "high long, low long, doc_id long, start int")
+def _named(docs: DataFrame) -> DataFrame:
+    """Documents with an id, known by it and the hash of their text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("body"))
+
+
+def _survivors(scratch: Scratch, named: DataFrame, length: int, apart: str, left_out: DataFrame | None) -> DataFrame:
+    """Windows of ``length`` words that all levels keep, as a kept table.  A window
+    repeats if it occurs with different values of ``apart``; documents ``left_out``
+    count for that but have no windows of their own."""
+    texts, before = named, None
+    for level in levels(length)[:-1]:
+        anchors = scratch.keep(_anchors(texts, length, level, before), f"anchors-{level}")
+        repeated = anchors.groupBy("hash").agg(F.min(apart).alias("a"), F.max(apart).alias("b")).where("a <> b").select("hash")
+        repeated = scratch.keep(repeated, f"repeated-{level}")
+        near = anchors.join(repeated, "hash").groupBy("doc_id", "body").agg(F.collect_set("hash").alias("hashes"))
+        if left_out is not None and level == levels(length)[-2]:
+            near = near.join(left_out, ["doc_id", "body"], "left_anti")
+        near = scratch.keep(near, f"candidates-{level}")
+        scratch.drop(f"anchors-{level}", f"repeated-{level}", *([f"candidates-{before}"] if before else []))
+        texts, before = named.join(near, ["doc_id", "body"]), level
+    windows = scratch.keep(_windows(texts, length, before), f"windows-{length}")
+    scratch.drop(f"candidates-{before}")
+    return windows
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """Two tables: ``(doc_id, starts)``, where windows start that also start in a
-    document with a smaller id; and ``(doc_id)`` of whole copies of a document with
-    a smaller id, whose windows are left out of the first."""
-    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    bodies = named.select("doc_id", F.unhex(F.md5("text")).alias("body"))
+    """Two tables: ``(doc_id, body, starts)``, where windows start that also start in a
+    document with a smaller id; and ``(doc_id, body)`` of whole copies of a document
+    with a smaller id, whose windows are left out of the first."""
+    scratch, named = Scratch(docs.sparkSession, "substring"), _named(docs)
+    texts = named.select("doc_id", "body", F.unhex(F.md5("text")).alias("text_hash"))
     # What is joined to a hot key is written first: Spark splits the partitions of a join
     # only if neither side is aggregated within it.
-    copied = materialize(bodies.groupBy("body").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copied")
-    copies = materialize(bodies.join(copied, "body").where("doc_id > first").select("doc_id").distinct(), "copies")
+    copied = texts.groupBy("text_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copied = scratch.keep(copied, "copied")
+    copies = scratch.keep(texts.join(copied, "text_hash").where("doc_id > first").select("doc_id", "body").distinct(), "copies")
+    scratch.drop("copied")
 
-    anchors = _anchors(named, length)
-    repeated = anchors.groupBy("hash").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").select("hash")
-    repeated = materialize(repeated, "repeated")
-    near = anchors.join(repeated, "hash").select("doc_id", "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
-    near = materialize(near.join(copies, "doc_id", "left_anti"), "candidates")
-
-    windows = _windows(named.join(near, "doc_id"), length)
+    windows = _survivors(scratch, named, length, "body", copies)
     first = windows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    first = materialize(first.drop("last"), "firsts")
-    found = windows.join(first, ["high", "low"]).where("doc_id > first").select("doc_id", "start")
-    return materialize(found.groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("starts")), "starts"), copies
+    first = scratch.keep(first.drop("last"), "firsts")
+    found = windows.join(first, ["high", "low"]).where("doc_id > first").select("doc_id", "body", "start")
+    starts = scratch.keep(found.groupBy("doc_id", "body").agg(F.sort_array(F.collect_set("start")).alias("starts")), "starts")
+    scratch.drop(f"windows-{length}", "firsts")
+    return starts, copies
 
 
-#: Added column; further columns of documents may have any other name.
-STARTS = "__loam_starts"
+#: Added columns; further columns of documents may have any other name.
+STARTS, BODY = "__loam_starts", "__loam_body"
 
 
 def _marked(docs: DataFrame, length: int) -> DataFrame:
     starts, copies = repeated_starts(docs, length)
-    every = starts.withColumnRenamed("starts", STARTS).unionByName(copies.select("doc_id", F.array().cast("array<int>").alias(STARTS)))
-    return docs.join(every, "doc_id", "left")
+    every = starts.unionByName(copies.withColumn("starts", F.array().cast("array<int>")))
+    every = every.select("doc_id", F.col("body").alias(BODY), F.col("starts").alias(STARTS))
+    return docs.withColumn(BODY, F.xxhash64(F.coalesce("text", F.lit("")))).join(every, ["doc_id", BODY], "left").drop(BODY)
 
 
 def _covered(n: int, starts: np.ndarray | None, length: int) -> np.ndarray:
@@ -222,8 +256,10 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A word is removed if a window of ``length`` words of its document covers it
     whose words also start in a document with a smaller doc_id.  Windows are judged
     on the input.  Null texts have no words; a row with a null id keeps all words
-    and removes none elsewhere; rows that repeat an id are one document's versions:
-    neither removes words of the other; an empty table gives no rows.
+    and removes none elsewhere.  Rows that repeat an id are one document's versions:
+    each is judged by its own text, and neither removes words of the other.  Texts of
+    any length are read whole; of equal windows the one with the smallest id stays;
+    an empty table gives no rows; further columns are ignored.
     """
 
     def run(batches):
@@ -242,8 +278,10 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``.
 
-    Only texts that lose words change: their kept words are joined by one space.
-    All rows and columns stay.
+    Only texts that lose words change: their kept words are joined by one space.  All
+    rows and columns stay, also those of nulls, repeated rows and texts that lose all
+    their words, which become empty.  Cases are settled as in :func:`removal_report`;
+    columns of any name but the two above may accompany a document.
     """
 
     def run(batches):
@@ -260,16 +298,46 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return _marked(docs, length).select(*names).mapInArrow(run, schema).select(*docs.columns)
 
 
+def _doubled(docs: DataFrame, length: int) -> DataFrame:
+    """The windows of twice ``length`` words both of whose halves are among ``hashes``,
+    the starts of repeated windows of ``length``."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in text_slices(whole, "text"):
+                words, offsets = split_words(strings(batch.column("text")))
+                h, g = _word_hashes(words)
+                at = _full_windows(offsets, 2 * length)
+                owner = np.repeat(np.arange(batch.num_rows), np.maximum(np.diff(offsets) - 2 * length + 1, 0))
+                start, starts = at - offsets[owner], batch.column("hashes")
+                keep = _listed(start, owner, starts) & _listed(start + length, owner, starts)
+                yield _window_rows(batch, window_hashes(h, 2 * length), window_hashes(g, 2 * length), at[keep], owner[keep], offsets)
+
+    return docs.mapInArrow(run, "high long, low long, doc_id long, body long, start int")
+
+
 def repeat_lengths(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``(length, windows)``: how many windows repeat across documents at ``length``,
-    twice it, and so on, until no candidates survive."""
+    """``(length, windows)``: how many windows start that also start in a document with
+    a smaller id, at ``length``, twice it, and so on, until no candidates survive.
+
+    Windows inside whole copies count.  Only what repeats at one length is extended to
+    the next.
+    """
     spark, out = docs.sparkSession, []
+    scratch, named = Scratch(spark, "repeat-lengths"), _named(docs).distinct()
+    windows = _survivors(scratch, named, length, "doc_id", None)
     while True:
-        starts, _ = repeated_starts(docs, length)
-        n = starts.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
+        first = windows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        first = scratch.keep(first, f"firsts-{length}")
+        alive = scratch.keep(windows.join(first, ["high", "low"]), f"alive-{length}")
+        n = alive.where("doc_id > first").select("doc_id", "body", "start").distinct().count()
         if not n:
+            scratch.drop("")
             return spark.createDataFrame(out, "length int, windows long")
         out.append((length, n))
+        starts = alive.groupBy("doc_id", "body").agg(F.collect_set(F.col("start").cast("long")).alias("hashes"))
+        windows = scratch.keep(_doubled(named.join(starts, ["doc_id", "body"]), length), f"windows-{2 * length}")
+        scratch.drop(f"windows-{length}", f"firsts-{length}", f"alive-{length}")
         length *= 2
 
 

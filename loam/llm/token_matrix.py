@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from loam.llm.bestfit import piece_bounds
 from loam.llm.storage import open_filesystem, shared_path
 from loam.llm.text import strings, text_slices
-from loam.llm.tokenize import WordIds, encode_texts
+from loam.llm.tokenize import WordIds, encode_texts, id_type
 
 ROW_TOKENS = 2048
 #: Tokens that are packed together: what a task holds at once.
@@ -87,8 +87,8 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 class _Buffer:
     """Pieces held until there are enough to pack."""
 
-    def __init__(self, directory: str, capacity: int) -> None:
-        self.directory, self.capacity = directory, capacity
+    def __init__(self, directory: str, capacity: int, kind: type) -> None:
+        self.directory, self.capacity, self.kind = directory, capacity, kind
         self.clear()
 
     def clear(self) -> None:
@@ -97,7 +97,7 @@ class _Buffer:
     def add(self, ids: np.ndarray, upto: np.ndarray, doc_ids: list) -> None:
         owner, number, start = piece_bounds(upto, self.capacity)
         begin = upto[owner] + start
-        self.ids.append((ids.astype(np.uint16 if ids.size == 0 or ids.max() < 1 << 16 else np.uint32), begin))
+        self.ids.append((ids.astype(self.kind), begin))
         self.doc_ids += [doc_ids[k] for k in owner.tolist()]
         self.pieces.append(number)
         self.starts.append(start)
@@ -110,8 +110,7 @@ class _Buffer:
             return None
         lengths, pieces, starts = (np.concatenate(x) for x in (self.lengths, self.pieces, self.starts))
         row, offset, rows = best_fit_decreasing(lengths, self.capacity)
-        wide = any(i.dtype == np.uint32 for i, _ in self.ids)
-        matrix = np.full((rows, self.capacity), PAD_ID, np.uint32 if wide else np.uint16)
+        matrix = np.full((rows, self.capacity), PAD_ID, self.kind)
         k = 0
         for ids, begin in self.ids:
             for b in begin.tolist():
@@ -168,11 +167,12 @@ def pack_matrices(docs: DataFrame, directory: str, tokenizer_path: str, capacity
     A null or empty text is the end id alone.  Repeated rows are packed each; a null
     id stays null in the lists; an empty table writes nothing and gives no rows;
     further columns are ignored.  A task that is repeated writes anew under other
-    names: the files that the rows name are whole.
+    names: the files that the rows name are whole.  All files of a tokenizer have ids of one
+    width, 16 bits where its vocabulary fits, else 32.
     """
 
     def run(batches):
-        known, buffer = WordIds(tokenizer_path), _Buffer(directory, capacity)
+        known, buffer = WordIds(tokenizer_path), _Buffer(directory, capacity, id_type(tokenizer_path, end_id, PAD_ID))
         for whole in batches:
             for batch in text_slices(whole, "text"):
                 ids, upto = encode_texts(strings(batch.column("text")), known, end_id)

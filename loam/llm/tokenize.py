@@ -22,9 +22,12 @@ def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
+
+
+def id_type(path: str, *more: int) -> type:
+    """The narrowest type that holds every id of the vocabulary and the ids ``more``."""
+    return np.uint16 if max(load_tokenizer(path).get_vocab_size(), *[i + 1 for i in more], 0) <= 1 << 16 else np.uint32
 
 
 class WordIds:

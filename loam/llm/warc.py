@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.storage import commit_parts, list_parts, materialize, open_filesystem, shared_path
+from loam.llm.storage import Scratch, commit_parts, list_parts, open_filesystem, shared_path
 from loam.llm.text import strings, text_slices
 
 SUFFIX = ".warc.gz"
@@ -69,16 +69,16 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_t
 def write_archives(pages: DataFrame, directory: str) -> None:
     """One archive per task, of rows with page_id, url, html and refers_to.
 
-    A task writes under a name of its own; only those of tasks that succeeded are
-    moved to their place, so a repeated attempt leaves nothing twice.
+    A task writes under a name of its own; only those of tasks that succeeded get into
+    the manifest, so a repeated attempt is not read twice.
     """
 
     def write(batches):
         system, root = open_filesystem(directory)
-        system.create_dir(f"{root}/_attempts", recursive=True)
+        system.create_dir(root, recursive=True)
         name = f"{uuid.uuid4().hex}{SUFFIX}"
         rows = 0
-        with system.open_output_stream(f"{root}/_attempts/{name}", compression=None) as out:
+        with system.open_output_stream(f"{root}/{name}", compression=None) as out:
             for whole in batches:
                 for batch in text_slices(whole, "html"):
                     html = strings(batch.column("html")).to_pylist()
@@ -87,10 +87,12 @@ def write_archives(pages: DataFrame, directory: str) -> None:
                     ):
                         out.write(encode_record(page_id, url, text.encode(), refers_to))
                         rows += 1
+        if not rows:
+            system.delete_file(f"{root}/{name}")
         yield pa.RecordBatch.from_pydict({"part": [name] if rows else pa.array([], pa.string())})
 
     parts = pages.select("page_id", "url", "html", "refers_to").mapInArrow(write, "part string").collect()
-    commit_parts(directory, [r["part"] for r in parts], SUFFIX)
+    commit_parts(directory, [r["part"] for r in parts])
 
 
 class _Range:
@@ -155,6 +157,13 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines) if v}
 
 
+def _unescaped(uri: str | None, record_id: str | None) -> str | None:
+    """The URI as the page had it; those of other writers stay as they are."""
+    if uri is None or not (record_id or "").startswith("<urn:page:"):
+        return uri
+    return uri.encode("ascii", "replace").decode("unicode_escape")
+
+
 def parse_record(data: bytes) -> dict:
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = _fields(head)
@@ -164,7 +173,7 @@ def parse_record(data: bytes) -> dict:
     return {
         "record_id": fields.get("warc-record-id"),
         "type": fields.get("warc-type"),
-        "target_uri": fields.get("warc-target-uri"),
+        "target_uri": _unescaped(fields.get("warc-target-uri"), fields.get("warc-record-id")),
         "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else _digest(payload),
         "refers_to": fields.get("warc-refers-to"),
         "payload_bytes": int(_fields(http).get("content-length", 0)) if revisit else len(payload),
@@ -242,7 +251,7 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         .drop("__last")
     )
     # Written, so that Spark can split a payload that very many pages share in the join.
-    repeated = materialize(repeated, "payloads")
+    repeated = Scratch(pages.sparkSession, "revisits").keep(repeated, "payloads")
     first = F.when(F.col("page_id") > F.col("__first"), F.col("__first"))
     return named.join(repeated, "__body", "left").withColumn("refers_to", first).drop("__body", "__first")
 

@@ -155,8 +155,7 @@ def edited_copies():
 
 
 @pytest.mark.parametrize("rows", [edited_copies(), near_copies()])
-def test_one_of_each_against_brute_force(spark, monkeypatch, rows):
-    monkeypatch.setattr(jaccard, "SAMPLE", 2)
+def test_one_of_each_against_brute_force(spark, rows):
     kept = sorted(r["doc_id"] for r in simhash.one_of_each(frame(spark, rows)).collect())
     assert kept == brute_kept(rows)
 
