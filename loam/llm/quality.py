@@ -18,11 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.llm.sampling import first_by_hash
 from loam.llm.text import split_words, strings, text_slices
 
 ABSTAIN, GOOD, BAD = 0, 1, 2
-#: Documents that the scorer is trained on: the first by hash of doc_id.
-TRAIN_DOCS, TRAIN_TEXT_BYTES = 12_000, 1 << 17
+#: The scorer is trained on the documents that come first by the hash of their id, at
+#: most so many and so many bytes of text.  Votes are counted over all documents.
+TRAIN_DOCS, TRAIN_BYTES = 12_000, 64 << 20
 FEATURES = 1 << 16
 REJECT = 0.5
 
@@ -189,7 +191,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> Weak
 def _shape(word: str) -> str:
     """Letters as a or A, digits as 9, the rest as it is; runs once."""
     out = []
-    for c in word[:64]:
+    for c in word:
         s = ("A" if c.isupper() else "a") if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != s:
             out.append(s)
@@ -247,11 +249,10 @@ def train_scorer(cut: np.ndarray, feature: np.ndarray, value: np.ndarray, target
 
 
 def fit(docs: DataFrame) -> np.ndarray:
-    """Scorer weights: votes of all documents, and training on TRAIN_DOCS of them."""
+    """Scorer weights: votes of all documents, and training on a bounded sample."""
     counted = vote_counts(docs).collect()
     model = estimate(np.array([r["pattern"] for r in counted], np.int64), np.array([r["n"] for r in counted])) if counted else None
-    drawn = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    sample = docs.where(F.octet_length("text") <= TRAIN_TEXT_BYTES).join(F.broadcast(drawn), "doc_id", "left_semi")
+    sample = first_by_hash(docs, TRAIN_DOCS, TRAIN_BYTES)
 
     def run(batches):
         for whole in batches:
@@ -304,15 +305,19 @@ def _per_text_float(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def classify(docs: DataFrame) -> DataFrame:
     """``(doc_id, quality, kept)`` of every row: kept if quality is over REJECT.
 
-    Null and wordless texts have quality 0 and are not kept.  Repeated rows are
-    judged alike; an empty table gives no rows; further columns are ignored.
+    Null and wordless texts have quality 0 and are not kept.  A null id stays null and
+    trains nothing; texts of any length are judged whole; equal texts, repeated rows too,
+    are judged alike; a quality of just REJECT is not kept; an empty table gives no rows;
+    further columns are ignored.
     """
     narrow = docs.select(F.col("doc_id").cast("long"), "text")
     return scored(narrow, fit(narrow)).select("doc_id", "quality", (F.col("quality") > REJECT).alias("kept"))
 
 
 def without_low_quality(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
+    """The rows of ``docs`` that :func:`classify` keeps, with all their columns, also such
+    as are named like its own.  Null and wordless texts go; repeated rows stay together;
+    an empty table stays empty."""
     weights = fit(docs.select(F.col("doc_id").cast("long"), "text"))
     clash = "quality" in docs.columns
     renamed = docs.withColumnRenamed("quality", "__quality") if clash else docs
