@@ -14,11 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.llm.storage import Scratch
+
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 #: Bytes of item text up to which the item sketches are sent to all executors.
 #: Beyond, shingle hashes are shuffled to meet the sketches instead.
 BROADCAST_BYTES = 16 << 20
+#: Candidates up to which they are sent to the texts.  Beyond, texts are shuffled.
+BROADCAST_PAIRS = 250_000
 
 
 def normal_words(text: Column) -> Column:
@@ -50,7 +54,7 @@ def allowed_missing(count: Column, threshold: float) -> Column:
 def item_sketches(benchmark: DataFrame, k: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """``(item_id, item_shingles, sketch)``: the smallest hashes of each item, as many
     as its size class needs.  Items without words are left out."""
-    items = benchmark.select("item_id", shingles(normal_words(F.col("text")), k).alias("item_shingles")).where("size(item_shingles) > 0")
+    items = benchmark.where("item_id is not null").select("item_id", shingles(normal_words(F.col("text")), k).alias("item_shingles")).where("size(item_shingles) > 0")
     hashes = F.array_sort(F.array_distinct(F.transform("item_shingles", lambda s: F.xxhash64(s))))
     # The largest number that may be missing in the class of sizes 2^c to 2^(c + 1) - 1, at most the item's own size.
     size = F.size("item_shingles")
@@ -71,14 +75,17 @@ def contained_items(
     k: int = SHINGLE_WORDS,
     threshold: float = THRESHOLD,
     broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_pairs: int = BROADCAST_PAIRS,
 ) -> DataFrame:
     """``(doc_id, item_id, containment)`` for every item of which a document has at
     least ``threshold`` of the distinct shingles.
 
     Words are runs of letters and digits, lower-cased.  An item with fewer words
     than a shingle matches only documents of exactly these words.  Null and empty
-    texts match nothing; repeated rows give one result, and rows of one id are
-    judged each by its own text; empty tables give none; further columns are ignored.
+    texts match nothing; a document or item with a null id gives no rows; repeated rows
+    give one result, and rows of one id are judged each by its own text; texts of any
+    length are searched whole; a containment of just the threshold counts; empty tables
+    give none; further columns are ignored.
     """
     sketches = item_sketches(benchmark, k, threshold)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
@@ -89,16 +96,20 @@ def contained_items(
         keyed = F.broadcast(keyed)
     else:
         hashed = hashed.distinct()
-    candidates = hashed.join(keyed, "hash").select("doc_id", "item_id").distinct()
-    pairs = candidates.join(texts, "doc_id").join(sketches.select("item_id", "item_shingles"), "item_id")
+    candidates = Scratch(docs.sparkSession, "decontam").keep(hashed.join(keyed, "hash").select("doc_id", "item_id").distinct(), "candidates")
+    few = candidates.count() <= broadcast_pairs
+    pairs = texts.join(F.broadcast(candidates) if few else candidates, "doc_id").join(sketches.select("item_id", "item_shingles"), "item_id")
     found = F.size(F.array_intersect("item_shingles", shingles(normal_words(F.col("text")), k))) / F.size("item_shingles")
     return pairs.select("doc_id", "item_id", found.alias("containment")).where(F.col("containment") >= threshold).distinct()
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no item; rows with a null id stay."""
-    found = contained_items(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that hold no item, with all their columns.  Rows with a null
+    id or text stay; of rows that repeat an id none stays if any holds an item."""
+    scratch = Scratch(docs.sparkSession, "contaminated")
+    found = scratch.keep(contained_items(docs, benchmark, **options).select("doc_id").distinct(), "found")
+    few = found.count() <= BROADCAST_PAIRS
+    return docs.join(F.broadcast(found) if few else found, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
