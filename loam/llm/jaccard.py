@@ -6,9 +6,10 @@ links are closed by connected components.  No pair that reaches it is missed:
 * Equal sets are one node.  Each node has a SimHash fingerprint of its shingles, and
   the caller's index proposes links between near fingerprints.  Exact similarity
   keeps the right ones, so large groups of copies are joined at once.
-* For what lies further apart, two bounds leave out most nodes.  Similar sets have a
-  shingle in common among their smallest hashes, as many as may be missing and one
-  more.  And all but a share of a set's shingles must be in other such sets too.
+* For what lies further apart, two bounds leave out most nodes.  Of similar sets of at
+  least n shingles, those smallest hashes that are as many as may be missing and COMMON
+  of n more have that many in common.  And all but a share of a set's shingles must be
+  in other such sets too.
 * In what is left, shingles are ordered by the number of sets they are in, rarest
   first.  Similar sets share one of their first few (the prefix), at places that leave
   room for the overlap, and differ little in size.
@@ -36,8 +37,10 @@ from loam.llm.text import expand_ranges, split_words, strings, text_slices
 SHINGLE_WORDS = 5
 #: Least similarity, as a fraction.
 SHARE = (4, 5)
+#: One in so many shingles of a set must be found again among the smallest hashes.
+COMMON = 10
 #: Rounds in which sets are compared with one other of those that share a shingle.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,10 +88,15 @@ def needed_overlap(n):
     return -(-n * SHARE[0] // SHARE[1])
 
 
+def common_least(n):
+    """How many of the smallest hashes of two similar sets of at least n are the same."""
+    return np.maximum(1, n // COMMON)
+
+
 def set_rows(docs: DataFrame, shingle: int) -> DataFrame:
     """``(doc_id, k1, k2, n, fp, least)``: a 128-bit hash of each document's set of
     shingles, its size, its fingerprint, and its smallest hashes, as many as a similar
-    set may lack and one more."""
+    set may lack and :func:`common_least` more."""
 
     def run(batches):
         for whole in batches:
@@ -98,7 +106,7 @@ def set_rows(docs: DataFrame, shingle: int) -> DataFrame:
                 sizes = np.diff(offsets)
                 digests = b"".join([xxhash.xxh3_128_digest(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
                 keys = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                cut = np.where(sizes > 0, sizes + 1 - needed_overlap(sizes), 0)
+                cut = np.where(sizes > 0, np.minimum(sizes, sizes - needed_overlap(sizes) + common_least(sizes)), 0)
                 least = pa.array(values[expand_ranges(offsets[:-1], cut)].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -148,9 +156,15 @@ def _possible():
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets reach SHARE."""
-    one, two = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("shingles").alias(f"s{k}")) for k in "ab")
-    both = pairs.join(one, "a").join(two, "b")
+    """The pairs (a, b) of nodes whose sets reach SHARE.  Only sets that are in a pair
+    are moved."""
+
+    def side(k: str) -> DataFrame:
+        needed = pairs.select(F.col(k).alias("node")).distinct()
+        own = sets.join(needed, "node", "left_semi")
+        return own.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("shingles").alias(f"s{k}"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.where(_enough(F.size(F.array_intersect("sa", "sb")), "na", "nb")).select("a", "b")
 
 
@@ -194,8 +208,12 @@ def _links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, index: Callable[
     near = scratch.keep(_near_fingerprints(nodes, index), "near")
     least = nodes.select("node", F.explode("least").alias("shingle"))
     met = scratch.keep(least.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1").select("shingle"), "met")
-    wanted = least.join(met, "shingle").select("node").unionByName(near.select(F.col("a").alias("node"))).unionByName(near.select(F.col("b").alias("node")))
-    wanted = scratch.keep(nodes.drop("least", "fp").join(wanted.distinct(), "node", "left_semi"), "wanted")
+    again = least.join(met, "shingle").groupBy("node").agg(F.count("*").alias("again"))
+    bare = nodes.drop("least", "fp")
+    # A similar set may have one in five shingles less, so fewer in common are asked for.
+    wanted = bare.join(again, "node").where(F.col("again") >= F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * SHARE[0] / SHARE[1]) / COMMON))).select("node")
+    wanted = wanted.unionByName(near.select(F.col("a").alias("node"))).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    wanted = scratch.keep(bare.join(wanted, "node", "left_semi"), "wanted")
     scratch.drop("met")
     sets = scratch.keep(whole_sets(docs, wanted, shingle), "sets")
     links = [scratch.keep(_verified(near, sets), "links-near")]

@@ -5,6 +5,7 @@ A word is a run of characters other than space and the ASCII controls 9 to 13.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,17 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) ->
         end = max(int(np.searchsorted(total, base + max_bytes, side="right")), start + 1)
         yield batch.slice(start, end - start)
         start = end
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a worker lives on into other stages, and two
+    of them share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
 
 
 def strings(column: pa.Array) -> pa.Array:
