@@ -50,73 +50,88 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(n == 0, 1, n)
 
 
-def block_search(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, min_score: float | None = None, k: int | None = None) -> DataFrame:
+def block_search(
+    queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, min_score: float | None = None, k: int | None = None, group: str | None = None
+) -> DataFrame:
     """``(query_id, id, score)``: cosine of every query with every row, in blocks.
 
-    The queries are a bounded set: they are collected, and refused beyond
-    QUERY_BYTES.  Each block of rows is multiplied with them and keeps what reaches
-    ``min_score``, or per query its best ``k``; ties go to the smaller id.  Rows
-    whose vector is invalid or of another size are left out.
+    The queries are a bounded set: they are collected, sent as a broadcast variable, and
+    refused beyond QUERY_BYTES.  Each block of rows is multiplied with them and keeps
+    what reaches ``min_score``, or per query its best ``k``; ties go to the smaller id.
+    ``group``: a column of the rows, which comes too; the best ``k`` are then those of
+    each of its values, so no more pairs than these leave a task.  Rows whose vector is
+    invalid or of another size are left out.
     """
+    kind = dict(rows.dtypes)[group] if group else None
     good = queries.where(valid_vector(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     dims = good.agg(F.max(F.size("v")), F.count("*")).first()
     if not dims[1]:
-        return queries.sparkSession.createDataFrame([], "query_id long, id long, score double")
+        return queries.sparkSession.createDataFrame([], "query_id long, id long, score double" + (f", {group} {kind}" if group else ""))
     if dims[0] * dims[1] * 8 > QUERY_BYTES:
         raise ValueError(f"{dims[1]} queries are more than one search takes: search them in parts")
     held = good.where(F.size("v") == dims[0]).toArrow().combine_chunks()
-    names = held.column("id").to_numpy()
-    matrix = _unit(np.array(held.column("v").to_pylist(), float))
+    names, matrix = held.column("id").to_numpy(), _unit(np.array(held.column("v").to_pylist(), float))
+    sent = queries.sparkSession.sparkContext.broadcast((names, matrix))
 
     def search(batches):
+        names, matrix = sent.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             scores = _unit(np.array(batch.column("v").to_pylist(), float)) @ matrix.T
             keep = np.ones_like(scores, bool) if min_score is None else scores >= min_score
-            if k is not None and len(ids) > k:
-                order = np.lexsort((np.broadcast_to(ids[:, None], scores.shape), -scores), axis=0)[:k]
+            if k is not None:
                 best = np.zeros_like(keep)
-                np.put_along_axis(best, order, True, axis=0)
+                codes = batch.column("g").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) if group else np.zeros(len(ids), np.int64)
+                for code in np.unique(codes):
+                    own = np.flatnonzero(codes == code)
+                    order = np.lexsort((np.broadcast_to(ids[own, None], (len(own), len(names))), -scores[own]), axis=0)[:k]
+                    np.put_along_axis(best, own[order], True, axis=0)
                 keep &= best
             i, j = np.nonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(names[j]), pa.array(ids[i]), pa.array(scores[i, j])], names=["query_id", "id", "score"])
+            columns = [pa.array(names[j]), pa.array(ids[i]), pa.array(scores[i, j])] + ([batch.column("g").take(pa.array(i))] if group else [])
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "score", *([group] if group else [])])
 
     sized = rows.where(valid_vector(F.col(vector_col)) & (F.size(vector_col) == dims[0]))
-    found = sized.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(search, "query_id long, id long, score double")
-    return found if k is None else top_per_key(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
+    columns = [F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")] + ([F.col(group).alias("g")] if group else [])
+    schema = "query_id long, id long, score double" + (f", {group} {kind}" if group else "")
+    found = sized.select(*columns).mapInArrow(search, schema)
+    return found if k is None else top_per_key(found, ["query_id", *([group] if group else [])], [F.desc("score"), F.asc("id")], k)
 
 
-def block_join(rows: DataFrame, id_col: str, vector_col: str, min_score: float) -> DataFrame:
-    """``(id1, id2, score)`` with id1 < id2: all pairs of rows over a cosine.
+def block_join(rows: DataFrame, id_col: str, vector_col: str, min_score: float, key: str | None = None) -> DataFrame:
+    """``(id1, id2, score)`` with id1 < id2: all pairs of rows over a cosine, or with
+    ``key`` all pairs of rows with one value of that column.
 
     Rows are dealt by the hash of their id into blocks of about BLOCK_ROWS, and each
     pair of blocks is multiplied in a task, so a table of any size is taken and the
     driver sees only its count.  Rows whose vector is invalid or of another size
     are left out.
     """
-    good = rows.where(valid_vector(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    dims, n = good.agg(F.max(F.size("v")), F.count("*")).first()
+    own = F.col(key) if key else F.lit(0)
+    good = rows.where(valid_vector(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), own.alias("key"))
+    sizes = good.groupBy("key").agg(F.max(F.size("v")).alias("dims"), F.count("*").alias("n"))
+    dims, n = sizes.agg(F.max("dims"), F.max("n")).first()
     if not n:
         return rows.sparkSession.createDataFrame([], "id1 long, id2 long, score double")
     blocks = -(-n // BLOCK_ROWS)
     placed = good.where(F.size("v") == dims).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    one = placed.select(F.col("id").alias("id1"), F.col("v").alias("v1"), F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("j"))
-    two = placed.select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
+    one = placed.select("key", F.col("id").alias("id1"), F.col("v").alias("v1"), F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("j"))
+    two = placed.select("key", F.col("id").alias("id2"), F.col("v").alias("v2"), F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
 
-    def multiply(key, a, b):
+    def multiply(place, a, b):
         found = {"id1": np.zeros(0, np.int64), "id2": np.zeros(0, np.int64), "score": np.zeros(0)}
         if len(a) and len(b):
             scores = _unit(np.stack(a["v1"].to_numpy()).astype(float)) @ _unit(np.stack(b["v2"].to_numpy()).astype(float)).T
             x, y = a["id1"].to_numpy(), b["id2"].to_numpy()
             keep = scores >= min_score
-            keep &= x[:, None] < y if key[0] == key[1] else x[:, None] != y
+            keep &= x[:, None] < y if place[1] == place[2] else x[:, None] != y
             k, m = np.nonzero(keep)
             found = {"id1": np.minimum(x[k], y[m]), "id2": np.maximum(x[k], y[m]), "score": scores[k, m]}
         return pd.DataFrame(found)
 
-    return one.groupBy("i", "j").cogroup(two.groupBy("i", "j")).applyInPandas(multiply, "id1 long, id2 long, score double")
+    return one.groupBy("key", "i", "j").cogroup(two.groupBy("key", "i", "j")).applyInPandas(multiply, "id1 long, id2 long, score double")
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:

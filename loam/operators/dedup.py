@@ -44,14 +44,56 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def sharing_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (id1, id2) of sets x of one scope k that can have enough elements in common:
+    ``overlap`` is what a row needs with any partner.  A pair that has it shares one of
+    the first size - overlap + 1 elements of both, rarest of the scope first."""
+    listed = sets.select("id", "k", "overlap", F.explode("x").alias("e"))
+    counts = listed.groupBy("k", "e").agg(F.count("*").alias("n"))
+    ordered = listed.join(counts, ["k", "e"]).groupBy("id", "k", "overlap").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("s"))
+    first = F.slice("s", F.lit(1), F.greatest(F.lit(1), F.size("s") - F.col("overlap") + 1).cast("int"))
+    keyed = ordered.select("id", "k", F.explode(first).alias("e")).select("id", "k", "e.e")
+    one, two = (keyed.select("k", "e", F.col("id").alias(f"id{side}")) for side in (1, 2))
+    return one.join(two, ["k", "e"]).where("id1 < id2").select("id1", "id2").distinct()
+
+
+def similar_sets(sets: DataFrame, least: float) -> DataFrame:
+    """``(id1, id2, s)``: pairs of sets x of one scope k with a Jaccard similarity of at
+    least ``least``; ids are unique."""
+    pairs = sharing_pairs(sets.withColumn("overlap", F.greatest(F.lit(1), F.ceil(F.size("x") * least - 1e-9))))
+    x1, x2 = (sets.select(F.col("id").alias(f"id{k}"), F.col("x").alias(f"x{k}")) for k in (1, 2))
+    share = F.size(F.array_intersect("x1", "x2")) / F.size(F.array_union("x1", "x2"))
+    return pairs.join(x1, "id1").join(x2, "id2").withColumn("s", share).where(F.col("s") >= least).select("id1", "id2", "s")
+
+
+#: Characters of a gram of :func:`close_texts`.
+GRAM = 3
+
+
+def _numbered_grams(text: Column) -> Column:
+    """The grams of a text with GRAM - 1 marks before and after it, each with how often
+    it has come before, so that a repeated gram counts as often as it occurs."""
+    padded = F.concat(F.lit("\1" * (GRAM - 1)), text, F.lit("\2" * (GRAM - 1)))
+    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - (GRAM - 1)), lambda i: F.substring(padded, i, F.lit(GRAM)))
+    earlier = lambda g, i: F.size(F.filter(F.slice(grams, F.lit(1), i), lambda x: x == g))
+    return F.transform(grams, lambda g, i: F.concat_ws("#", g, earlier(g, i)))
+
+
 def close_texts(df: DataFrame, id_col: str, text_col: str, least: float, block: Column) -> DataFrame:
-    """Pairs of one block with a Levenshtein similarity of at least ``least``.  Only
-    lengths that can reach it are compared."""
-    a = df.select(F.col(id_col).alias("id1"), F.col(text_col).alias("t1"), block.alias("block"))
-    b = df.select(F.col(id_col).alias("id2"), F.col(text_col).alias("t2"), block.alias("block"))
-    shorter, longer = F.least(F.length("t1"), F.length("t2")), F.greatest(F.length("t1"), F.length("t2"))
-    pairs = a.join(b, "block").where((F.col("id1") < F.col("id2")) & (shorter >= least * longer))
-    return pairs.withColumn("similarity", levenshtein_similarity(F.col("t1"), F.col("t2"))).where(F.col("similarity") >= least).select("id1", "id2", "similarity")
+    """Pairs of one block with a Levenshtein similarity of at least ``least``, over 2/3.
+
+    One edit changes at most GRAM grams, so close texts share most of theirs; only pairs
+    that share a rare one are compared.  Null texts are close to none; ids are unique.
+    """
+    if least <= 1 - 1 / GRAM:
+        raise ValueError(f"a similarity of {least} does not need a shared gram")
+    texts = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), block.alias("k"))
+    edits = F.floor((1 - least) * F.length("t") / least + 1e-9)
+    sets = texts.withColumn("x", _numbered_grams(F.col("t")))
+    pairs = sharing_pairs(sets.withColumn("overlap", F.greatest(F.lit(1), F.size("x") - GRAM * edits)))
+    t1, t2 = (texts.select(F.col("id").alias(f"id{k}"), F.col("t").alias(f"t{k}")) for k in (1, 2))
+    found = pairs.join(t1, "id1").join(t2, "id2").withColumn("similarity", levenshtein_similarity(F.col("t1"), F.col("t2")))
+    return found.where(F.col("similarity") >= least).select("id1", "id2", "similarity")
 
 
 def survivor(df: DataFrame, key: str, strategy: str) -> DataFrame:

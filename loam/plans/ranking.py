@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loam.functions.lexical import tfidf_top, tokens
 from loam.functions.vectors import top_per_key
 from loam.operators import fusion
 from loam.plans.search import HITS, _hits
@@ -25,20 +26,19 @@ LISTS = HITS + """, lists AS (
 """
 
 
-def _ranked(hits, source):
-    return top_per_key(hits.withColumn("source", source), ["query_id", "source"], [F.desc("score"), F.asc("id")], 25, "rank")
+def _ranked(spark, sf_dir, source, k=25):
+    """Ranks of the best ``k`` of each source; no other pair leaves a task."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("source", source)
+    return top_per_key(_hits(spark, sf_dir, k, rows=rows, group="source"), ["query_id", "source"], [F.desc("score"), F.asc("id")], k, "rank")
 
 
 def _lists(spark, sf_dir):
-    models = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    return _ranked(_hits(spark, sf_dir).join(models, "id"), F.concat(F.lit("m"), F.col("label") % 3))
+    return _ranked(spark, sf_dir, F.concat(F.lit("m"), F.col("label") % 3))
 
 
 def _pairs(spark, sf_dir):
-    models = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    hits = _hits(spark, sf_dir).join(models, "id")
-    one = _ranked(hits, F.when(F.col("label") % 2 == 0, "original").otherwise("rules"))
-    return one.unionByName(_ranked(hits, F.lit("llm")))
+    one = _ranked(spark, sf_dir, F.when(F.col("label") % 2 == 0, "original").otherwise("rules"))
+    return one.unionByName(_ranked(spark, sf_dir, F.lit("llm")))
 
 
 def _rounded(df, *more):
@@ -161,27 +161,13 @@ tf AS (SELECT doc_id, w, count(*) AS tf FROM tok GROUP BY doc_id, w), df AS (SEL
 """
 
 
-def tokens(text):
-    """Lower-cased runs of letters a-z and digits."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-
-
 @REGISTRY.query(TOKENS + """
 , s AS (SELECT item_id, doc_id, sum((1 + ln(tf)) * ln(1 + n / (1 + df))) AS s FROM q JOIN tf USING (w) JOIN df USING (w), n GROUP BY item_id, doc_id)
 SELECT item_id, doc_id, round(s, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 3) DESC, doc_id) AS r FROM s) WHERE r <= 10""")
 def tfidf_search(spark, sf_dir):
     """Ten best documents per question by (1 + ln tf) * ln(1 + N / (1 + df))."""
-    docs = table(spark, sf_dir, "documents")
-    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
-    asked = words.select("w").distinct()
-    # Only words that are asked for are counted.
-    found = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("w")).join(asked, "w", "left_semi")
-    tf = found.groupBy("doc_id", "w").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("w").agg(F.count("*").alias("df"))
-    n = docs.count()
-    part = (1 + F.log(F.col("tf"))) * F.log(1 + F.lit(n) / (1 + F.col("df")))
-    scored = words.join(df, "w").join(tf, "w").groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 3).alias("score"))
-    return top_per_key(scored, ["item_id"], [F.desc("score"), F.asc("doc_id")], 10)
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return tfidf_top(docs, "doc_id", "text", items, "item_id", "text", 10)
 
 
 @REGISTRY.query("""

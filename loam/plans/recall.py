@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loam.functions.vectors import top_per_key
-from loam.operators import fusion, greedy
+from loam.operators import dedup, fusion, greedy
 from loam.plans.ranking import tokens
 from loam.plans.search import HITS, _hits, similar_pairs
 from loam.registry import Registry
@@ -130,9 +130,7 @@ def trigram_match(spark, sf_dir):
     name = F.lower("c_name")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 2, F.lit(1))), lambda i: F.substring(name, i, F.lit(3))))
     g = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("k"), grams.alias("x"))
-    a, b = g.select("k", F.col("id").alias("id1"), F.col("x").alias("x1")), g.select("k", F.col("id").alias("id2"), F.col("x").alias("x2"))
-    share = F.size(F.array_intersect("x1", "x2")) / F.size(F.array_union("x1", "x2"))
-    found = a.join(b, "k").where("id1 < id2").withColumn("s", share).where("s >= 0.85")
+    found = dedup.similar_sets(g, 0.85)
     return found.select("id1", "id2", F.round("s", 6).alias("similarity"))
 
 
@@ -183,8 +181,7 @@ def resolution_policy(spark, sf_dir):
 @REGISTRY.query()
 def greedy_dedup(spark, sf_dir):
     """Of similar pairs in order, the row with the lower score goes."""
-    pairs = similar_pairs(table(spark, sf_dir, "embeddings"), 0.35).withColumn("group", F.lit(0))
-    return greedy.drop_losers(pairs, "group")
+    return greedy.drop_losers(similar_pairs(table(spark, sf_dir, "embeddings"), 0.35))
 
 
 @REGISTRY.query()

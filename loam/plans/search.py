@@ -20,9 +20,11 @@ WITH hits AS (
 """
 
 
-def _hits(spark, sf_dir, k=None, min_score=None, rows=None):
+def _hits(spark, sf_dir, k=None, min_score=None, rows=None, group=None):
+    """Hits of the queries; ``k`` and the query itself, with ``group`` in each value of
+    that column of the rows."""
     e = table(spark, sf_dir, "embeddings")
-    found = block_search(e.where("vec_id % 100 = 0"), e if rows is None else rows, "vec_id", "embedding", min_score, None if k is None else k + 1)
+    found = block_search(e.where("vec_id % 100 = 0"), e if rows is None else rows, "vec_id", "embedding", min_score, None if k is None else k + 1, group)
     return found.where("query_id <> id")
 
 
@@ -50,8 +52,8 @@ SELECT query_id, id, model, round(s, 6) AS score, rank FROM (
   SELECT *, 'm' || (label % 3) AS model, row_number() OVER (PARTITION BY query_id, label % 3 ORDER BY s DESC, id) AS rank FROM hits) WHERE rank <= 10""")
 def topk_per_model_rank(spark, sf_dir):
     """Ranks from 1 within each model."""
-    models = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("m"), F.col("label") % 3).alias("model"))
-    found = top_per_key(_hits(spark, sf_dir).join(models, "id"), ["query_id", "model"], [F.desc("score"), F.asc("id")], 10, "rank")
+    rows = table(spark, sf_dir, "embeddings").withColumn("model", F.concat(F.lit("m"), F.col("label") % 3))
+    found = top_per_key(_hits(spark, sf_dir, 10, rows=rows, group="model"), ["query_id", "model"], [F.desc("score"), F.asc("id")], 10, "rank")
     return found.select("query_id", "id", "model", F.round("score", 6).alias("score"), "rank")
 
 

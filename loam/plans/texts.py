@@ -49,11 +49,14 @@ def dedupe_key(spark, sf_dir):
 
 
 @REGISTRY.query("""
-WITH h AS (SELECT source, sha256(string_agg(md5(text), ',' ORDER BY md5(text))) AS now FROM documents GROUP BY source) SELECT source, now, right(source, 1) = '3' OR now IS NULL AS run FROM h""")
+WITH h AS (SELECT source, count(*) AS n, sum(('0x' || substr(md5(coalesce(text, '')), 1, 15))::HUGEINT)::VARCHAR AS a, sum(('0x' || substr(md5(coalesce(text, '')), 16, 15))::HUGEINT)::VARCHAR AS b FROM documents GROUP BY source)
+SELECT source, sha256(concat_ws(':', n::VARCHAR, a, b)) AS now, right(source, 1) = '3' OR source IS NULL AS run FROM h""")
 def input_hash(spark, sf_dir):
-    """One hash of all inputs of a scope, whatever their order."""
-    per = table(spark, sf_dir, "documents").groupBy("source").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.md5("text"))), ","), 256).alias("now"))
-    return per.select("source", "now", ((F.substring("source", -1, 1) == "3") | F.col("now").isNull()).alias("run"))
+    """One hash of all inputs of a scope, whatever their order: of their number and the
+    sums of two parts of their hashes, which are summed before they are shuffled."""
+    part = lambda at: F.sum(F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    per = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").cast("string").alias("n"), part(1).alias("a"), part(16).alias("b"))
+    return per.select("source", F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("now"), ((F.substring("source", -1, 1) == "3") | F.col("source").isNull()).alias("run"))
 
 
 @REGISTRY.query("""
@@ -61,8 +64,8 @@ WITH w AS (SELECT source, unnest(list_filter(regexp_split_to_array(lower(text),
 , r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, w) AS r FROM c) SELECT source, string_agg(w, ' ' ORDER BY r) AS label FROM r WHERE r <= 3 GROUP BY source""")
 def label_top_words(spark, sf_dir):
     """The three most frequent longer words of each cluster."""
-    words = F.filter(F.split(F.lower("text"), "[^a-z]+", -1), lambda w: F.length(w) > 3)
-    counts = table(spark, sf_dir, "documents").select("source", F.explode(words).alias("w")).groupBy("source", "w").agg(F.count("*").alias("n"))
+    words = table(spark, sf_dir, "documents").select("source", F.explode(F.split(F.lower("text"), "[^a-z]+", -1)).alias("w")).where("length(w) > 3")
+    counts = words.groupBy("source", "w").agg(F.count("*").alias("n"))
     best = top_per_key(counts, ["source"], [F.desc("n"), F.asc("w")], 3, "r")
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("r", "w"))), lambda x: x["w"])
     return best.groupBy("source").agg(F.array_join(ordered, " ").alias("label"))
