@@ -291,18 +291,37 @@ def health_unpivot(spark, sf_dir):
     )
 
 
+#: Weights of the six components of the fog index, and its tiers.
+FOG_WEIGHTS = {"staleness": 25, "coverage": 20, "duplicates": 15, "consolidation": 20, "decay": 10, "gaps": 10}
+FOG_TIERS = [(90, "Crystal"), (75, "Clear"), (60, "Haze"), (40, "Mist"), (20, "Fog"), (0, "Dense Fog")]
+
+
 @REGISTRY.query("""
-WITH f AS (SELECT count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic, count(quality) AS known FROM documents LEFT JOIN labels USING (doc_id))
-, s AS (SELECT round(100 * (0.4 * good / known + 0.35 * known / n + 0.25 * (1 - toxic / known)), 1) AS score FROM f)
-SELECT score, CASE WHEN score >= 90 THEN 'crystal' WHEN score >= 75 THEN 'clear' WHEN score >= 60 THEN 'hazy' WHEN score >= 40 THEN 'foggy' ELSE 'dense' END AS tier FROM s""")
+WITH u AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id), e AS (SELECT max(ts) AS stop, min(ts) AS start, count(DISTINCT ts::DATE) AS days FROM events),
+a AS (SELECT 100.0 * count(*) FILTER (last >= stop - INTERVAL 14 DAY) / count(*) AS staleness, 100.0 * count(*) FILTER (last >= stop - INTERVAL 1 DAY) / count(*) AS decay FROM u, e),
+d AS (SELECT 100.0 * count(quality) / count(*) AS coverage, 100.0 * count(DISTINCT md5(text)) / count(*) AS duplicates, 100.0 * count(*) FILTER (quality = 1) / count(quality) AS consolidation FROM documents LEFT JOIN labels USING (doc_id)),
+g AS (SELECT 100.0 * days / (stop::DATE - start::DATE + 1) AS gaps FROM e),
+s AS (SELECT round((25 * staleness + 20 * coverage + 15 * duplicates + 20 * consolidation + 10 * decay + 10 * gaps) / 100, 1)::DOUBLE AS score FROM a, d, g)
+SELECT score, CASE WHEN score >= 90 THEN 'Crystal' WHEN score >= 75 THEN 'Clear' WHEN score >= 60 THEN 'Haze' WHEN score >= 40 THEN 'Mist' WHEN score >= 20 THEN 'Fog' ELSE 'Dense Fog' END AS tier FROM s""")
 def fog_index(spark, sf_dir):
-    """Weighted components of one aggregated row, and a tier."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    f = d.agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count("quality").alias("known"))
-    score = F.round(100 * (0.4 * F.col("good") / F.col("known") + 0.35 * F.col("known") / F.col("n") + 0.25 * (1 - F.col("toxic") / F.col("known"))), 1)
-    s = f.select(score.alias("score"))
-    tier = F.when(F.col("score") >= 90, "crystal").when(F.col("score") >= 75, "clear").when(F.col("score") >= 60, "hazy").when(F.col("score") >= 40, "foggy")
-    return s.select("score", tier.otherwise("dense").alias("tier"))
+    """Six weighted components, each one aggregated row of its table, and a tier."""
+    events = table(spark, sf_dir, "events")
+    stop, start, days = events.agg(F.max("ts"), F.min("ts"), F.countDistinct(F.to_date("ts"))).first()
+    within = lambda n: 100 * F.avg(F.when(F.col("last") >= F.lit(stop) - F.expr(f"INTERVAL {n} DAY"), 1.0).otherwise(0.0))
+    users = events.groupBy("user_id").agg(F.max("ts").alias("last")).agg(within(14).alias("staleness"), within(1).alias("decay"))
+    texts = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").groupBy(F.md5("text").alias("h"))
+    texts = texts.agg(F.count("*").alias("n"), F.count("quality").alias("known"), F.count_if(F.col("quality") == 1).alias("good"))
+    share = lambda a, b: 100 * a / b
+    docs = texts.agg(
+        share(F.sum("known"), F.sum("n")).alias("coverage"), share(F.count("h"), F.sum("n")).alias("duplicates"), share(F.sum("good"), F.sum("known")).alias("consolidation")
+    )
+    both = users.unionByName(docs, allowMissingColumns=True)
+    parts = both.agg(*[F.max(c).alias(c) for c in both.columns]).withColumn("gaps", F.lit(100 * days / ((stop.date() - start.date()).days + 1)))
+    s = parts.select(F.round(sum(w * F.col(c) for c, w in FOG_WEIGHTS.items()) / 100, 1).alias("score"))
+    tier = F.lit(FOG_TIERS[-1][1])
+    for least, name in reversed(FOG_TIERS[:-1]):
+        tier = F.when(F.col("score") >= least, name).otherwise(tier)
+    return s.select("score", tier.alias("tier"))
 
 
 @REGISTRY.query("""

@@ -141,11 +141,17 @@ def log_signals_nested(spark, sf_dir):
     return found.agg(F.count("l_linenumber").alias("signals"), F.when(F.count("l_linenumber") > 0, ranks).alias("ranks"))
 
 
-@REGISTRY.query("""
-SELECT n_name AS child, r_name AS parent, count(c_custkey) AS customers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2""")
+@REGISTRY.query(r"""
+WITH p AS (SELECT page_id, string_split(regexp_extract(url, '^https?://([^?#]+)', 1), '/') AS parts FROM pages),
+nodes AS (SELECT DISTINCT array_to_string(parts[1:2], '/') AS node FROM p WHERE page_id % 2 = 0 UNION SELECT DISTINCT parts[1] FROM p WHERE page_id % 3 = 0),
+up AS (SELECT page_id, k, array_to_string(parts[1:k], '/') AS node FROM (SELECT page_id, parts, unnest(range(1, len(parts))) AS k FROM p))
+SELECT page_id, arg_max(node, k) AS parent, max(k)::BIGINT AS depth FROM up JOIN nodes USING (node) GROUP BY page_id""")
 def nearest_ancestor(spark, sf_dir):
-    """Each node under its nearest existing ancestor, with what hangs on it."""
-    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("customers"))
-    joined = n.join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return joined.select(F.col("n_name").alias("child"), F.col("r_name").alias("parent"), F.coalesce("customers", F.lit(0)).alias("customers"))
+    """Each page under the longest prefix of its path that is a node."""
+    path = F.split(F.regexp_extract("url", "^https?://([^?#]+)", 1), "/", -1)
+    p = table(spark, sf_dir, "pages").select("page_id", path.alias("parts"))
+    joined = lambda n: F.array_join(F.slice("parts", F.lit(1), n), "/")
+    nodes = p.where("page_id % 2 = 0").select(joined(F.lit(2)).alias("node")).unionByName(p.where("page_id % 3 = 0").select(joined(F.lit(1)).alias("node"))).distinct()
+    up = p.where("size(parts) > 1").select("page_id", "parts", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("k"))
+    found = up.select("page_id", "k", joined(F.col("k")).alias("node")).join(nodes, "node")
+    return found.groupBy("page_id").agg(F.max_by("node", "k").alias("parent"), F.max("k").cast("long").alias("depth"))
