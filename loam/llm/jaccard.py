@@ -13,9 +13,9 @@ links are closed by connected components.  No pair that reaches it is missed:
 * In what is left, shingles are ordered by the number of sets they are in, rarest
   first.  Similar sets share one of their first few (the prefix), at places that leave
   room for the overlap, and differ little in size.
-* Sets of one component need not be compared.  In a few rounds all sets with a prefix
-  shingle are compared with one of them, which joins groups in as many rows as they
-  have members.  Then all pairs that are in different components still are compared.
+* Sets of one component need not be compared.  First all sets with a prefix shingle are
+  compared with a few of them, which joins groups in as many rows as they have members.
+  Then all pairs that are in different components still are compared.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ SHINGLE_WORDS = 5
 SHARE = (4, 5)
 #: One in so many shingles of a set must be found again among the smallest hashes.
 COMMON = 10
-#: Rounds in which sets are compared with one other of those that share a shingle.
-ROUNDS = 2
+#: Sets that all with a shingle in common are compared with first.
+HEADS = 3
 
 
 def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,15 +191,14 @@ def _shared_prefixes(scratch: Scratch, sets: DataFrame) -> DataFrame:
     return out
 
 
-def _labelled(scratch: Scratch, places: DataFrame, links: DataFrame, name: str) -> DataFrame:
+def _mixed(scratch: Scratch, places: DataFrame, links: DataFrame) -> DataFrame:
     """Of the prefix shingles those whose sets are in different components, with each
     set's component; a kept table."""
     found = connected_components(links, "a", "b")
-    labelled = scratch.keep(places.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), f"labels-{name}")
+    labelled = scratch.keep(places.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "labelled")
     mixed = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
-    mixed = scratch.keep(mixed, f"shingles-{name}")
-    out = scratch.keep(labelled.join(mixed, "shingle"), f"mixed-{name}")
-    scratch.drop(f"labels-{name}", f"shingles-{name}")
+    out = scratch.keep(labelled.join(scratch.keep(mixed, "mixed-shingles"), "shingle"), "mixed")
+    scratch.drop("labelled", "mixed-shingles")
     return out
 
 
@@ -219,27 +218,24 @@ def _links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, index: Callable[
     links = [scratch.keep(_verified(near, sets), "links-near")]
     places = _shared_prefixes(scratch, sets)
 
-    compared = near
-    for k in range(ROUNDS):
-        mixed = _labelled(scratch, places, _union(links), str(k))
-        head = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "node", "n", "p", "label")).alias("head")
-        heads = scratch.keep(mixed.groupBy("shingle").agg(head), f"heads-{k}")
-        sides = mixed.join(heads, "shingle").where("label <> head.label").select(
-            F.col("node").alias("a"), F.col("n").alias("n1"), F.col("p").alias("p1"),
-            F.col("head.node").alias("b"), F.col("head.n").alias("n2"), F.col("head.p").alias("p2"),
-        )
-        pairs = sides.where(_possible()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = scratch.keep(pairs.join(compared, ["a", "b"], "left_anti"), f"pairs-{k}")
-        links.append(scratch.keep(_verified(pairs, sets), f"links-{k}"))
-        compared = compared.unionByName(pairs)
-        scratch.drop(f"mixed-{k}", f"heads-{k}")
-
-    mixed = _labelled(scratch, places, _union(links), "last")
+    # The same few come first for every shingle of a group, so that pairs coincide.
+    head = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "node", "n", "p")) for k in range(HEADS)]
+    heads = places.groupBy("shingle").agg(F.count("*").alias("members"), F.array_distinct(F.array(*head)).alias("heads"))
+    heads = scratch.keep(heads.where("members > 1").drop("members"), "heads")
+    sides = places.join(heads, "shingle").select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("p").alias("p1"), F.explode("heads").alias("head"))
+    sides = sides.select("a", "n1", "p1", F.col("head.node").alias("b"), F.col("head.n").alias("n2"), F.col("head.p").alias("p2"))
+    pairs = sides.where("a <> b").where(_possible()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = scratch.keep(pairs.join(near, ["a", "b"], "left_anti"), "pairs")
+    links.append(scratch.keep(_verified(pairs, sets), "links-heads"))
+    scratch.drop("heads")
+
+    mixed = _mixed(scratch, places, _union(links))
     one, two = (mixed.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "p", "label")]) for k in (1, 2))
     across = one.join(two, "shingle").where("node1 > node2 and label1 <> label2").where(_possible())
-    rest = across.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-    links.append(scratch.keep(_verified(scratch.keep(rest, "pairs-last"), sets), "links-last"))
-    scratch.drop("near", "wanted", "sets", "places", "mixed-last", "pairs-last", *[f"pairs-{k}" for k in range(ROUNDS)])
+    rest = across.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+    rest = scratch.keep(rest.join(near.unionByName(pairs), ["a", "b"], "left_anti"), "rest")
+    links.append(scratch.keep(_verified(rest, sets), "links-rest"))
+    scratch.drop("near", "wanted", "sets", "places", "mixed", "pairs", "rest")
     return _union(links)
 
 
@@ -273,5 +269,5 @@ def similar_components(docs: DataFrame, index: Callable[[DataFrame], DataFrame],
     least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
     found = scratch.keep(placed.join(least, "component").select("k1", "k2", "n", "component_id"), "found")
     out = scratch.keep(rows.select("doc_id", "k1", "k2", "n").join(found, ["k1", "k2", "n"], "left").select("doc_id", "component_id"), "components")
-    scratch.drop("rows", "named", "nodes", "placed", "found", "links-near", "links-last", *[f"links-{k}" for k in range(ROUNDS)])
+    scratch.drop("rows", "named", "nodes", "placed", "found", "links-near", "links-heads", "links-rest")
     return out
