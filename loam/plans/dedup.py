@@ -47,9 +47,9 @@ def merge_survivor(spark, sf_dir):
 
 @REGISTRY.query("""
 SELECT doc_id, round(least(100.0, least(30.0, length(text) / 20) + least(25.0, len(list_distinct(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))))
- + least(15.0, len(regexp_extract_all(text, '[0-9]+')) * 3.0) + least(20.0, len(regexp_extract_all(text, '[A-Z][a-z]+')) * 2.0) + least(10.0, len(regexp_extract_all(text, '[.,;:!?]')) * 0.5))::DOUBLE, 6) AS detail FROM documents WHERE lang = 'en'""")
+ + least(15.0, len(regexp_extract_all(text, '[0-9]+')) * 3.0) + least(20.0, len(regexp_extract_all(text, '[A-Z][a-z]+')) * 2.0) + least(10.0, len(regexp_extract_all(text, '[.,;:!?]')) * 0.5))::DOUBLE, 6) AS detail FROM documents""")
 def detail_score(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.round(dedup.detail_score(F.col("text")), 6).alias("detail"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(dedup.detail_score(F.col("text")), 6).alias("detail"))
 
 
 @REGISTRY.query("SELECT source, max(n_chars) AS importance, sum(n_chars)::BIGINT AS accesses, max(doc_id) AS latest, count(*) AS members FROM documents GROUP BY source")

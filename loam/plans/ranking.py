@@ -95,12 +95,12 @@ def fusion_minmax(spark, sf_dir):
 
 
 @REGISTRY.query(LISTS + """
-SELECT query_id, id, map_from_entries(list((source, rank) ORDER BY source)) IS NOT NULL AS ranked, count(*) AS lists, round(sum(1.0 / (60 + rank)), 6) AS fused, round(max(score), 6) AS best
+SELECT query_id, id, string_agg(source || ':' || rank, ',' ORDER BY source) AS ranks, count(*) AS lists, round(sum(1.0 / (60 + rank)), 6) AS fused, round(max(score), 6) AS best
 FROM lists GROUP BY query_id, id""")
 def code_rrf(spark, sf_dir):
-    """Unweighted, with the best score over models."""
+    """Unweighted, with the best score over models and the rank in each."""
     found = _lists(spark, sf_dir).groupBy("query_id", "id").agg(
-        F.map_from_entries(F.collect_list(F.struct("source", "rank"))).isNotNull().alias("ranked"),
+        F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "source", F.col("rank").cast("string")))), ",").alias("ranks"),
         F.count("*").alias("lists"),
         F.round(F.sum(fusion.reciprocal_rank(F.col("rank"))), 6).alias("fused"),
         F.round(F.max("score"), 6).alias("best"),

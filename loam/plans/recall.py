@@ -135,7 +135,7 @@ def trigram_match(spark, sf_dir):
 
 
 @REGISTRY.query("""
-WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS w FROM documents WHERE lang = 'en'), c AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('good', 'like', 'love', 'great'))) AS p,
+WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS w FROM documents), c AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('good', 'like', 'love', 'great'))) AS p,
  len(list_filter(w, lambda x: x IN ('idiot', 'scum', 'trash', 'pathetic', 'stupid'))) AS n FROM w)
 SELECT doc_id, CASE WHEN p = 0 AND n = 0 THEN 'neutral' WHEN p >= n THEN 'positive' ELSE 'negative' END AS polarity, CASE WHEN p = 0 AND n = 0 THEN 0.75 WHEN p >= n THEN 1.0 ELSE 0.15 END::DOUBLE AS penalty FROM c""")
 def sentiment_penalty(spark, sf_dir):
@@ -144,7 +144,7 @@ def sentiment_penalty(spark, sf_dir):
     count = lambda *words: F.size(F.filter(w, lambda x: x.isin(*words)))
     p, n = count("good", "like", "love", "great"), count("idiot", "scum", "trash", "pathetic", "stupid")
     kind = F.when((p == 0) & (n == 0), "neutral").when(p >= n, "positive").otherwise("negative")
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", kind.alias("polarity"))
+    d = table(spark, sf_dir, "documents").select("doc_id", kind.alias("polarity"))
     weight = F.when(F.col("polarity") == "neutral", 0.75).when(F.col("polarity") == "positive", 1.0).otherwise(0.15)
     return d.withColumn("penalty", weight)
 

@@ -132,14 +132,11 @@ def fallback_union(spark, sf_dir):
 
 
 @REGISTRY.query("""
-WITH newest AS (SELECT * FROM embeddings ORDER BY vec_id DESC LIMIT 5000), p AS (SELECT a.vec_id AS id1, b.vec_id AS id2, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
-  FROM newest a JOIN newest b ON a.vec_id < b.vec_id)
+WITH p AS (SELECT a.vec_id AS id1, b.vec_id AS id2, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
+  FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
 SELECT id1, id2, round(s, 6) AS score FROM p WHERE s >= 0.35""")
 def near_dup_pairs(spark, sf_dir, newest=None):
-    """Unordered pairs over a threshold; ``newest`` limits them to so many newest rows.
-
-    The SQL has the operator's limit of 5,000 rows, so it says the same up to there.
-    """
+    """Unordered pairs over a threshold; ``newest`` limits them to so many newest rows."""
     rows = table(spark, sf_dir, "embeddings")
     rows = rows if newest is None else rows.orderBy(F.desc("vec_id")).limit(newest)
     return similar_pairs(rows, 0.35).select("id1", "id2", F.round("score", 6).alias("score"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -57,8 +57,10 @@ def gap_markers(stream: DataFrame, seconds: int = 600) -> DataFrame:
 
     def mark(key: tuple, frames, state: GroupState):
         last = state.get[0] if state.exists else None
-        whole = pd.concat([f for f in frames if len(f)]).sort_values(["ts", "event_id"])
-        out = []
+        found = [f for f in frames if len(f)]
+        if not found:
+            return
+        whole, out = pd.concat(found).sort_values(["ts", "event_id"]), []
         for event_id, ts in zip(whole["event_id"], whole["ts"], strict=True):
             now = ts.value // 1000
             if last is not None and now - last > seconds * 1_000_000:
@@ -70,10 +72,35 @@ def gap_markers(stream: DataFrame, seconds: int = 600) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(mark, MARKER_SCHEMA, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+RATE_SCHEMA = "user_id long, event_id long, n long"
+
+
 def rate_limit(df: DataFrame, limit: int, seconds: int = 3600) -> DataFrame:
-    """Rows of a user beyond ``limit`` within the sliding window that ends with them."""
-    from pyspark.sql import Window
+    """``(user_id, event_id, n)`` of a user's rows beyond ``limit`` within the sliding
+    window that ends with them, to the second.
 
+    On a stream, state is the seconds of a user's rows in the last window, so its size
+    is that of one window; rows are put in order within a batch, and one that arrives
+    after a newer one is counted with what is left of its window.
+    """
     at = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("user_id").orderBy(at).rangeBetween(-seconds, 0)
-    return df.withColumn("n", F.count("*").over(w)).where(F.col("n") > limit)
+    if not df.isStreaming:
+        w = Window.partitionBy("user_id").orderBy(at).rangeBetween(-seconds, 0)
+        return df.withColumn("n", F.count("*").over(w)).where(F.col("n") > limit).select("user_id", "event_id", "n")
+
+    def count(key: tuple, frames, state: GroupState):
+        held = list(state.get[0]) if state.exists else []
+        found = [f for f in frames if len(f)]
+        if not found:
+            return
+        whole, out = pd.concat(found).sort_values(["at", "event_id"]), []
+        for now, rows in whole.groupby("at", sort=True):
+            held += [int(now)] * len(rows)
+            n = sum(now - seconds <= t <= now for t in held)
+            out += [(key[0], event_id, n) for event_id in rows["event_id"] if n > limit]
+        newest = max(held)
+        state.update(([t for t in held if t >= newest - seconds],))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "n"])
+
+    keyed = df.select("user_id", "event_id", at.alias("at"))
+    return keyed.groupBy("user_id").applyInPandasWithState(count, RATE_SCHEMA, "held array<long>", "append", GroupStateTimeout.NoTimeout)

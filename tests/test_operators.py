@@ -127,6 +127,14 @@ def test_streams_give_the_rows_of_their_batch_twins(spark, sf_dir, tmp_path):
     days = {(r["start"], r["event_type"]): r["n"] for r in events.windows(batch).collect()}
     streamed = {(r["start"], r["event_type"]): r["n"] for r in drained(events.windows(events.event_stream(spark, sf_dir)), "days").collect()}
     assert streamed and streamed.items() <= days.items()
+    stream = lambda: events.event_stream(spark, sf_dir)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for name, make in (("sliding", lambda d: events.windows(d, "1 day", "6 hours")), ("sessions", lambda d: events.sessions(d, "6 hours"))):
+        twin = {tuple(r) for r in make(e).collect()}
+        streamed = {tuple(r) for r in drained(make(stream()), name).collect()}
+        assert streamed and streamed <= twin
+    limited = {tuple(r) for r in drained(events.rate_limit(stream(), 4, 86_400), "rate").collect()}
+    assert limited and limited == {tuple(r) for r in events.rate_limit(e, 4, 86_400).collect()}
 
 
 def test_similar_pairs_of_more_rows_than_a_query_set(spark, monkeypatch):
