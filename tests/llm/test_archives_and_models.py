@@ -44,7 +44,7 @@ def test_warc_records(spark, tmp_path):
         (page(0), "response", "", len(big), big),
     ]
     assert got == sorted(wanted)
-    assert {r["target_uri"] for r in found if r["record_id"] == page(2)} == {"\\xfc\\r\\nX: y", "z"}
+    assert {r["target_uri"] for r in found if r["record_id"] == page(2)} == {"ü\r\nX: y", "z"}
 
 
 @pytest.mark.parametrize("split", [50, 333, 1 << 20])
@@ -130,7 +130,7 @@ def test_toxicity_on_held_out_documents(spark):
     assert (rows.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in rows.doc_id]).all()
     assert (rows.predicted == (rows.score >= 0.3)).all()
     held = rows[rows.held_out].merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
-    assert auc(held.score, held.toxic.to_numpy()) > 0.8
+    assert auc(held.score, held.toxic.to_numpy()) > 0.9
 
 
 def test_toxicity_edges(spark):
