@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from loam.llm.text import as_list, expand_ranges, strings, text_slices
 
 #: Pieces that a task remembers; then it starts anew.
-MOST_PIECES = 300_000
+MOST_PIECES = 600_000
 _NONE = 1 << 62
 _POSITION = (1 << 32) - 1
 
