@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("bestfit", "simhash", "decontam", "substring", "toxicity", "warc", "hmm", "quality", "media", "token_matrix", "bpe", "resample")
+_MODULES = ("bestfit", "simhash", "decontam", "substring", "toxicity", "warc", "hmm", "quality", "media", "token_matrix", "bpe", "resample", "trie")
 
 
 def _collect(name: str) -> dict:
