@@ -135,8 +135,8 @@ def importance_resample(
 def drawn_documents(docs: DataFrame, target: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are drawn, with all their columns; equal rows of one id come
     together."""
-    ranked = importance_resample(docs, target, **options).where("rank is not null").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
-    return docs.join(ranked, (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__mark")), "left_semi")
+    ranked = importance_resample(docs, target, **options).where("rank is not null").select("doc_id", "mark")
+    return docs.join(ranked, (docs["doc_id"].cast("long") == ranked["doc_id"]) & (F.xxhash64(docs["text"]) == ranked["mark"]), "left_semi")
 
 
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
