@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.llm.columns import named
 from loam.llm.storage import Scratch
 
 SHINGLE_WORDS = 5
@@ -41,7 +42,7 @@ def _spans(words: Column, k: int, make) -> Column:
     return F.element_at(F.transform(F.array(words), runs), 1)
 
 
-def shingles(words: Column, k: int) -> Column:
+def shingles(words: Column, k: int | Column) -> Column:
     """The distinct shingles of a text, space-joined; none of a text without words."""
     return F.filter(F.array_distinct(_spans(words, k, lambda s: s)), lambda s: s != "")
 
@@ -52,21 +53,26 @@ def allowed_missing(count: Column, threshold: float) -> Column:
 
 
 def item_sketches(benchmark: DataFrame, k: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """``(item_id, item_shingles, sketch)``: the smallest hashes of each item, as many
-    as its size class needs.  Items without words are left out."""
-    items = benchmark.where("item_id is not null").select("item_id", shingles(normal_words(F.col("text")), k).alias("item_shingles")).where("size(item_shingles) > 0")
+    """``(item_id, k, item_shingles, sketch)``: the smallest hashes of each item, as many
+    as its size class needs.  An item of fewer words than ``k`` is one shingle of all its
+    words; items without words are left out."""
+    words = benchmark.where("item_id is not null").select("item_id", normal_words(F.col("text")).alias("w")).where("size(w) > 0")
+    items = words.withColumn("k", F.least(F.lit(k), F.size("w"))).select("item_id", "k", shingles(F.col("w"), F.col("k")).alias("item_shingles"))
     hashes = F.array_sort(F.array_distinct(F.transform("item_shingles", lambda s: F.xxhash64(s))))
     # The largest number that may be missing in the class of sizes 2^c to 2^(c + 1) - 1, at most the item's own size.
     size = F.size("item_shingles")
     top = F.pow(F.lit(2), F.floor(F.log2(size)) + 1).cast("int") - 1
     keep = F.least(allowed_missing(top, threshold) + 1, F.greatest(size, F.lit(1)))
-    return items.select("item_id", "item_shingles", F.slice(hashes, F.lit(1), keep).alias("sketch"))
+    return items.select("item_id", "k", "item_shingles", F.slice(hashes, F.lit(1), keep).alias("sketch"))
 
 
-def shingle_hashes(words: Column, k: int) -> Column:
-    """Hashes of a text's shingles, repeats included.  A text without words has that of
-    the empty shingle, which is in no sketch."""
-    return _spans(words, k, F.xxhash64)
+def shingle_hashes(words: Column, lengths: list[int]) -> Column:
+    """Hashes of a text's shingles of these lengths, repeats included.  A text without
+    words has that of the empty shingle, which is in no sketch."""
+    if len(lengths) == 1:
+        return _spans(words, lengths[0], F.xxhash64)
+    of_each = lambda w: F.flatten(F.array(*[_spans(w, k, F.xxhash64) for k in lengths]))
+    return F.element_at(F.transform(F.array(words), of_each), 1)
 
 
 def contained_items(
@@ -81,7 +87,7 @@ def contained_items(
     least ``threshold`` of the distinct shingles.
 
     Words are runs of letters and digits, lower-cased.  An item with fewer words
-    than a shingle matches only documents of exactly these words.  Null and empty
+    than a shingle is found wherever its words follow each other.  Null and empty
     texts match nothing; a document or item with a null id gives no rows; repeated rows
     give one result, and rows of one id are judged each by its own text; texts of any
     length are searched whole; a containment of just the threshold counts; empty tables
@@ -89,7 +95,10 @@ def contained_items(
     """
     sketches = item_sketches(benchmark, k, threshold)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    hashed = texts.select("doc_id", F.explode(shingle_hashes(normal_words(F.col("text")), k)).alias("hash"))
+    lengths = sorted(r["k"] for r in sketches.select("k").distinct().collect())  # k or less
+    if not lengths:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, containment double")
+    hashed = texts.select("doc_id", F.explode(shingle_hashes(normal_words(F.col("text")), lengths)).alias("hash"))
     keyed = sketches.select("item_id", F.explode("sketch").alias("hash"))
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size <= broadcast_bytes:
@@ -98,8 +107,8 @@ def contained_items(
         hashed = hashed.distinct()
     candidates = Scratch(docs.sparkSession, "decontam").keep(hashed.join(keyed, "hash").select("doc_id", "item_id").distinct(), "candidates")
     few = candidates.count() <= broadcast_pairs
-    pairs = texts.join(F.broadcast(candidates) if few else candidates, "doc_id").join(sketches.select("item_id", "item_shingles"), "item_id")
-    found = F.size(F.array_intersect("item_shingles", shingles(normal_words(F.col("text")), k))) / F.size("item_shingles")
+    pairs = texts.join(F.broadcast(candidates) if few else candidates, "doc_id").join(sketches.select("item_id", "k", "item_shingles"), "item_id")
+    found = F.size(F.array_intersect("item_shingles", shingles(normal_words(F.col("text")), F.col("k")))) / F.size("item_shingles")
     return pairs.select("doc_id", "item_id", found.alias("containment")).where(F.col("containment") >= threshold).distinct()
 
 
@@ -109,7 +118,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> Da
     scratch = Scratch(docs.sparkSession, "contaminated")
     found = scratch.keep(contained_items(docs, benchmark, **options).select("doc_id").distinct(), "found")
     few = found.count() <= BROADCAST_PAIRS
-    return docs.join(F.broadcast(found) if few else found, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(found) if few else found, "doc_id", "left_anti").select(*named(docs.columns))
 
 
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,12 +131,12 @@ WITH doc_words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
 ), item_words AS (
   SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
-), doc_shingles AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc_words WHERE len(w) > 0)
 ), item_shingles AS (
-  SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
-  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)
+  SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT item_id, w, least(len(w), 5) AS k, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)
+), doc_shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc_words, (SELECT DISTINCT k FROM item_shingles))
 ), sizes AS (SELECT item_id, count(*) AS n FROM item_shingles GROUP BY item_id)
 SELECT doc_id, item_id, count(*) / any_value(n)::DOUBLE AS containment
 FROM doc_shingles JOIN item_shingles USING (s) JOIN sizes USING (item_id)
