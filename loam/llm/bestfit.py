@@ -21,7 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
+from loam.llm.columns import with_fields
 from loam.llm.storage import Scratch
 from loam.llm.text import strings, text_slices
 from loam.llm.tokenize import WordIds, encode_texts
@@ -204,7 +206,7 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_pydict(columns)
 
     names = [f for f in ranked.schema.fields if f.name != "rank"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names) + ", sequence_id long, offset long"
+    schema = with_fields(names, sequence_id=LongType(), offset=LongType())
     return ranked.select(*[f.name for f in names], F.col("rank").cast("long")).mapInArrow(place, schema)
 
 

@@ -17,7 +17,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from loam.llm.columns import restored, set_aside, with_fields
 from loam.llm.sampling import first_by_hash
 from loam.llm.text import split_words, strings, text_slices
 
@@ -293,8 +295,7 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 quality = np.where(np.diff(some) > 0, 1 / (1 + np.exp(np.clip(z, -30, 30))), 0.0)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(quality)], names=[*batch.schema.names, "quality"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, schema + ", quality double")
+    return docs.mapInArrow(run, with_fields(docs.schema.fields, quality=DoubleType()))
 
 
 def _per_text_float(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -319,10 +320,7 @@ def without_low_quality(docs: DataFrame) -> DataFrame:
     as are named like its own.  Null and wordless texts go; repeated rows stay together;
     an empty table stays empty."""
     weights = fit(docs.select(F.col("doc_id").cast("long"), "text"))
-    clash = "quality" in docs.columns
-    renamed = docs.withColumnRenamed("quality", "__quality") if clash else docs
-    kept = scored(renamed, weights).where(F.col("quality") > REJECT).drop("quality")
-    return (kept.withColumnRenamed("__quality", "quality") if clash else kept).select(*docs.columns)
+    return restored(scored(set_aside(docs, "text"), weights).where(F.col("quality") > REJECT), docs.columns, "text")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

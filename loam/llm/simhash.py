@@ -24,10 +24,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm import jaccard
+from loam.llm.columns import free_name, named
 from loam.llm.components import connected_components
 from loam.llm.storage import Scratch
 from loam.llm.text import joined_words, strings, text_slices
@@ -273,16 +274,18 @@ def one_of_each(docs: DataFrame, shingle: int = jaccard.SHINGLE_WORDS) -> DataFr
     (:mod:`loam.llm.jaccard`): the index above proposes links of fingerprints of these
     shingles, exact similarity decides on them, and what lies further apart than the
     index reaches is found by shared shingles.  Of repeated rows with one id the first
-    by text stays.  Rows with a null id can't stand for a group and stay.
+    by text, then by its JSON form, stays; columns may have any names and types.  Rows with a null id can't stand for a group and stay.
     """
     found = jaccard.similar_components(docs, fingerprint_links, shingle)
     kept = found.where("component_id is null or doc_id = component_id").select("doc_id").distinct()
-    clashing = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    row = free_name(docs.columns, "row")
     with_id = docs.where("doc_id is not null").join(kept.where("doc_id is not null"), "doc_id", "left_semi")
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
     single = with_id.join(repeated, "doc_id", "left_anti")
-    first = with_id.join(repeated, "doc_id", "left_semi").withColumn("__row", F.row_number().over(clashing)).where("__row = 1").drop("__row")
-    return single.unionByName(first).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    columns = named(docs.columns)
+    whole = F.struct(*columns)
+    first = with_id.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.struct("text", F.to_json(whole))).alias(row)).select(f"{row}.*")
+    return single.select(*columns).union(first).union(docs.where("doc_id is null"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from loam.llm.columns import REST, restored, set_aside
 from loam.llm.storage import Scratch
 from loam.llm.text import as_list, joined_words, split_words, strings, text_slices
 
@@ -289,13 +291,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for batch in text_slices(whole, "text"):
                 texts = batch.column("text").to_pylist()
                 out = [kept.decode() if gone else text for text, (_, gone, kept) in zip(texts, _kept(batch, length), strict=True)]
-                columns = {n: batch.column(n) for n in batch.schema.names if n not in ("text", STARTS)}
-                yield pa.RecordBatch.from_pydict(columns | {"text": pa.array(out, pa.string())})
+                yield pa.RecordBatch.from_pydict({REST: batch.column(REST), "doc_id": batch.column("doc_id"), "text": pa.array(out, pa.string())})
 
-    others = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", text string"
-    names = [*[f.name for f in others], "text", STARTS]
-    return _marked(docs, length).select(*names).mapInArrow(run, schema).select(*docs.columns)
+    narrow = set_aside(docs, "doc_id", "text")
+    marked = _marked(narrow, length).select(REST, "doc_id", "text", STARTS)
+    kept = marked.mapInArrow(run, StructType([narrow.schema[c] for c in (REST, "doc_id", "text")]))
+    return restored(kept, docs.columns, "doc_id", "text")
 
 
 def _doubled(docs: DataFrame, length: int) -> DataFrame:
