@@ -4,6 +4,7 @@ A text is cut into pieces by the tokenizer's pattern, a piece into bytes.  A seg
 tree over the piece's adjacent pairs holds ``rank, position`` of each pair that can be
 merged; its root is the leftmost pair of the lowest rank.  A merge changes three leaves
 at most, each in logarithmic time, until the root says that no pair can be merged.
+Short pieces are merged side by side, a row of trees to each; long ones one by one.
 Pieces met before in a task are remembered, so a frequent piece is merged once.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import batched, chain
 
 import numpy as np
 import public_tokenizers
@@ -25,6 +26,8 @@ from loam.llm.text import as_list, expand_ranges, strings, text_slices
 
 #: Pieces that a task remembers; then it starts anew.
 MOST_PIECES = 600_000
+#: Bytes up to which pieces are merged side by side, and leaves of the trees of one go.
+SHORT_PIECE, _LEAVES = 64, 1 << 17
 _NONE = 1 << 62
 _POSITION = (1 << 32) - 1
 
@@ -55,6 +58,9 @@ class Vocabulary:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[ids[a] << 32 | ids[b]] = rank
             self.made.append(ids[a + b])
+        self.pairs = np.array(sorted(self.ranks), np.int64)
+        self.pair_ranks = np.array([self.ranks[p] for p in self.pairs.tolist()], np.int64)
+        self.byte_ids, self.made_ids = np.array(self.bytes, np.int64), np.array(self.made, np.int64)
         tokens = {i: t for t, i in ids.items()} | {t["id"]: t["content"] for t in added}
         spelled = [b"".join(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t in (tokens.get(i, "") for i in range(max(tokens) + 1))]
         self.sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
@@ -69,9 +75,25 @@ class Vocabulary:
             return self.pattern.findall(text)
         return list(chain.from_iterable([part] if part in self.added else self.pattern.findall(part) for part in self.cut.split(text)))
 
-    def piece_ids(self, piece: str) -> list[int]:
-        own = self.added.get(piece)
-        return merged([self.bytes[b] for b in piece.encode()], self.ranks, self.made) if own is None else [own]
+    def piece_ids(self, pieces: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """Pieces in some order with the number of their ids and all ids in that order."""
+        classes: dict[int, list[tuple[str, bytes]]] = {}
+        for piece in pieces:
+            own, raw = self.added.get(piece), piece.encode()
+            if own is not None or len(raw) > SHORT_PIECE:
+                ids = merged([self.bytes[b] for b in raw], self.ranks, self.made) if own is None else [own]
+                yield [piece], np.array([len(ids)], np.int64), np.array(ids, np.int64)
+            else:
+                classes.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append((piece, raw))
+        for leaves, some in classes.items():
+            for part in batched(some, _LEAVES // leaves):
+                yield [piece for piece, _ in part], *merged_rows([raw for _, raw in part], leaves, self)
+
+    def keys(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The leaves of pairs of ids at these positions."""
+        pair = a << 32 | b
+        place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[place] == pair, self.pair_ranks[place] << 32 | at, _NONE)
 
 
 @lru_cache(maxsize=4)
@@ -132,6 +154,43 @@ def merged(ids: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
     return out
 
 
+def merged_rows(pieces: list[bytes], leaves: int, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """``merged`` of many pieces of at most ``leaves`` bytes, a power of two: a row with a
+    tree for each, of which every round takes the root.  The number of ids of each piece,
+    and all ids."""
+    m, sizes = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+    place = np.arange(leaves)
+    alive = place < sizes[:, None]
+    ids = np.full((m, leaves), -1, np.int64)
+    ids[alive] = vocabulary.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+    tree = np.full((m, 2 * leaves), _NONE, np.int64)
+    row, at = np.nonzero(alive[:, 1:])
+    tree[row, leaves + at] = vocabulary.keys(ids[row, at], ids[row, at + 1], at)
+    for low in (1 << k for k in range(leaves.bit_length() - 2, -1, -1)):
+        tree[:, low : 2 * low] = np.minimum(tree[:, 2 * low : 4 * low : 2], tree[:, 2 * low + 1 : 4 * low : 2])
+    after, before = np.tile(place + 1, (m, 1)), np.tile(place - 1, (m, 1))
+    row = np.arange(m)
+    while True:
+        row = row[tree[row, 1] != _NONE]
+        if not len(row):
+            return alive.sum(axis=1), ids[alive]
+        root = tree[row, 1]
+        i = root & _POSITION
+        j = after[row, i]
+        k = after[row, j]
+        ids[row, i], after[row, i], alive[row, j], tree[row, leaves + j] = vocabulary.made_ids[root >> 32], k, False, _NONE
+        more = k < sizes[row]
+        before[row[more], k[more]] = i[more]
+        tree[row, leaves + i] = np.where(more, vocabulary.keys(ids[row, i], ids[row, np.where(more, k, 0)], i), _NONE)
+        h = before[row, i]
+        some = h >= 0
+        tree[row[some], leaves + h[some]] = vocabulary.keys(ids[row[some], h[some]], ids[row[some], i[some]], h[some])
+        three, up = np.concatenate([row, row, row[some]]), leaves + np.concatenate([i, j, h[some]])
+        while up[0] > 1:
+            up >>= 1
+            tree[three, up] = np.minimum(tree[three, 2 * up], tree[three, 2 * up + 1])
+
+
 class PieceIds:
     """Ids of the pieces met so far, up to ``most``; then it starts anew."""
 
@@ -154,11 +213,9 @@ class PieceIds:
             self._clear()
         missing = list(set(pieces).difference(self.rows))
         if missing:
-            ids = list(map(self.vocabulary.piece_ids, missing))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.rows.update(zip(missing, range(len(self.sizes), len(self.sizes) + len(ids)), strict=True))
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.table = np.concatenate([self.table, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))])
+            names, sizes, ids = zip(*self.vocabulary.piece_ids(missing), strict=True)
+            self.rows.update((piece, k) for k, piece in enumerate(chain.from_iterable(names), len(self.sizes)))
+            self.sizes, self.table = np.concatenate([self.sizes, *sizes]), np.concatenate([self.table, *ids]).astype(np.int32)
         row = np.fromiter(map(self.rows.__getitem__, pieces), np.int64, len(pieces))
         sizes = self.sizes[row]
         flat = self.table[expand_ranges((np.cumsum(self.sizes) - self.sizes)[row], sizes)]
