@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,25 +60,28 @@ def block_search(
     refused beyond QUERY_BYTES.  Each block of rows is multiplied with them and keeps
     what reaches ``min_score``, or per query its best ``k``; ties go to the smaller id.
     ``group``: a column of the rows, which comes too; the best ``k`` are then those of
-    each of its values, so no more pairs than these leave a task.  Rows whose vector is
-    invalid or of another size are left out.
+    each of its values, so no more pairs than these leave a task.  Vectors of several
+    sizes are compared each with those of its own; invalid ones are left out.
     """
     kind = dict(rows.dtypes)[group] if group else None
     good = queries.where(valid_vector(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    dims = good.agg(F.max(F.size("v")), F.count("*")).first()
-    if not dims[1]:
+    sizes, n = good.agg(F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0)), F.count("*")).first()
+    if not n:
         return queries.sparkSession.createDataFrame([], "query_id long, id long, score double" + (f", {group} {kind}" if group else ""))
-    if dims[0] * dims[1] * 8 > QUERY_BYTES:
-        raise ValueError(f"{dims[1]} queries are more than one search takes: search them in parts")
-    held = good.where(F.size("v") == dims[0]).toArrow().combine_chunks()
-    names, matrix = held.column("id").to_numpy(), _unit(np.array(held.column("v").to_pylist(), float))
-    sent = queries.sparkSession.sparkContext.broadcast((names, matrix))
+    if sizes * 8 > QUERY_BYTES:
+        raise ValueError(f"{n} queries are more than one search takes: search them in parts")
+    held = good.toArrow()
+    by_size = {int(d): held.filter(pc.equal(pc.list_value_length(held["v"]), d)) for d in pc.unique(pc.list_value_length(held["v"])).to_pylist()}
+    sent = queries.sparkSession.sparkContext.broadcast({d: (t["id"].to_numpy(), _unit(np.array(t["v"].to_pylist(), float))) for d, t in by_size.items()})
 
-    def search(batches):
-        names, matrix = sent.value
+    def of_one_size(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
+            lengths = pc.list_value_length(batch.column("v"))
+            for d in pc.unique(lengths).to_pylist():
+                yield *sent.value[d], batch.filter(pc.equal(lengths, d))
+
+    def search(batches):
+        for names, matrix, batch in of_one_size(batches):
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             scores = _unit(np.array(batch.column("v").to_pylist(), float)) @ matrix.T
             keep = np.ones_like(scores, bool) if min_score is None else scores >= min_score
@@ -93,7 +97,7 @@ def block_search(
             columns = [pa.array(names[j]), pa.array(ids[i]), pa.array(scores[i, j])] + ([batch.column("g").take(pa.array(i))] if group else [])
             yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "score", *([group] if group else [])])
 
-    sized = rows.where(valid_vector(F.col(vector_col)) & (F.size(vector_col) == dims[0]))
+    sized = rows.where(valid_vector(F.col(vector_col)) & F.size(vector_col).isin(sorted(by_size)))
     columns = [F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")] + ([F.col(group).alias("g")] if group else [])
     schema = "query_id long, id long, score double" + (f", {group} {kind}" if group else "")
     found = sized.select(*columns).mapInArrow(search, schema)
@@ -105,20 +109,16 @@ def block_join(rows: DataFrame, id_col: str, vector_col: str, min_score: float,
     ``key`` all pairs of rows with one value of that column.
 
     Rows are dealt by the hash of their id into blocks of about BLOCK_ROWS, and each
-    pair of blocks is multiplied in a task, so a table of any size is taken and the
-    driver sees only its count.  Rows whose vector is invalid or of another size
-    are left out.
+    pair of blocks is multiplied in a task, so a table of any size is taken and nothing
+    comes to the driver.  A key has as many blocks as its own rows need.  Vectors of
+    several sizes are compared each with those of its own; invalid ones are left out.
     """
-    own = F.col(key) if key else F.lit(0)
-    good = rows.where(valid_vector(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), own.alias("key"))
-    sizes = good.groupBy("key").agg(F.max(F.size("v")).alias("dims"), F.count("*").alias("n"))
-    dims, n = sizes.agg(F.max("dims"), F.max("n")).first()
-    if not n:
-        return rows.sparkSession.createDataFrame([], "id1 long, id2 long, score double")
-    blocks = -(-n // BLOCK_ROWS)
-    placed = good.where(F.size("v") == dims).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    one = placed.select("key", F.col("id").alias("id1"), F.col("v").alias("v1"), F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("j"))
-    two = placed.select("key", F.col("id").alias("id2"), F.col("v").alias("v2"), F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
+    own = F.struct(F.col(key) if key else F.lit(0), F.size(vector_col))
+    good = rows.where(valid_vector(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.to_json(own).alias("key"))
+    blocks = good.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    placed = good.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    one = placed.select("key", F.col("id").alias("id1"), F.col("v").alias("v1"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    two = placed.select(F.col("key").alias("key2"), F.col("id").alias("id2"), F.col("v").alias("v2"), F.explode(F.sequence(F.lit(0), "block")).alias("i2"), F.col("block").alias("j2"))
 
     def multiply(place, a, b):
         found = {"id1": np.zeros(0, np.int64), "id2": np.zeros(0, np.int64), "score": np.zeros(0)}
@@ -131,7 +131,7 @@ def block_join(rows: DataFrame, id_col: str, vector_col: str, min_score: float,
             found = {"id1": np.minimum(x[k], y[m]), "id2": np.maximum(x[k], y[m]), "score": scores[k, m]}
         return pd.DataFrame(found)
 
-    return one.groupBy("key", "i", "j").cogroup(two.groupBy("key", "i", "j")).applyInPandas(multiply, "id1 long, id2 long, score double")
+    return one.groupBy("key", "i", "j").cogroup(two.groupBy("key2", "i2", "j2")).applyInPandas(multiply, "id1 long, id2 long, score double")
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:

@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder of spark.checkpoint.dir; a folder of its own only where
-    that is unset, as in a local session."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix=f"loam-{uuid.uuid4().hex[:6]}-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+from loam.sources.tables import checkpointed
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -26,7 +14,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Large and small stars in turn: each links a node's neighbours to the smallest of
     them.  Minima are pre-aggregated and joined, never gathered per node.
     """
-    now = _checkpoint(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    now = checkpointed(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     mark = None
     for _ in range(max_rounds):
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -39,7 +27,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = _checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        now = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
@@ -53,7 +41,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int, directed: bool
     frontier = reached
     for depth in range(1, max_depth + 1):
         step = frontier.join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = _checkpoint(step.join(reached, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        frontier = checkpointed(step.join(reached, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         reached = reached.unionByName(frontier)
     return reached
 
@@ -67,7 +55,7 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 4) -> Da
     for depth in range(1, max_depth + 1):
         step = frontier.join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         best = step.groupBy("seed", "node").agg(F.min("path").alias("path"))
-        frontier = _checkpoint(best.join(reached, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long")).select("seed", "node", "depth", "path"))
+        frontier = checkpointed(best.join(reached, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long")).select("seed", "node", "depth", "path"))
         reached = reached.unionByName(frontier)
     return reached
 

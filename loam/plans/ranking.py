@@ -201,17 +201,6 @@ def query_keywordness(spark, sf_dir):
     )
 
 
-@REGISTRY.query(HITS + """
-, c AS (SELECT query_id, id, s FROM hits UNION ALL SELECT query_id, id, 1.1 FROM hits WHERE label = 4)
-SELECT query_id, id, round(max(s), 6) AS score FROM c GROUP BY query_id, id""")
-def lexical_rescue(spark, sf_dir):
-    """Lexical hits lift a row to a fixed score at least."""
-    hits = _hits(spark, sf_dir)
-    found = table(spark, sf_dir, "embeddings").where("label = 4").select(F.col("vec_id").alias("id"))
-    lifted = hits.join(found, "id", "left_semi").withColumn("score", F.lit(1.1))
-    return hits.unionByName(lifted).groupBy("query_id", "id").agg(F.round(F.max("score"), 6).alias("score"))
-
-
 @REGISTRY.query("""
 WITH r AS (SELECT user_id, event_id, value, sum(1) OVER (PARTITION BY user_id ORDER BY value DESC, event_id ROWS UNBOUNDED PRECEDING) AS n,
   sum(length(props)) OVER (PARTITION BY user_id ORDER BY value DESC, event_id ROWS UNBOUNDED PRECEDING) AS used FROM events)

@@ -6,8 +6,25 @@ line items time series, conversations sessions.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, in the shared folder that spark.checkpoint.dir names.
+
+    Only a local session, as in tests, gets a folder of its own where none is named:
+    executors elsewhere would not see it.
+    """
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="loam-"))
+    return df.checkpoint()

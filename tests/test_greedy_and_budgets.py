@@ -38,6 +38,13 @@ def test_drop_losers_in_order(spark):
     df = spark.createDataFrame(pairs, "id1 long, id2 long, score double")
     assert sorted(r["id"] for r in greedy.drop_losers(df).collect()) == sorted(gone)
     assert greedy.drop_losers(df.limit(0)).count() == 0
+    own = {k: random.Random(k).randrange(5) for k in range(60)}
+    gone = set()
+    for a, b, _ in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if a not in gone and b not in gone:
+            gone.add(b if own[a] >= own[b] else a)
+    scored = spark.createDataFrame([(a, b, s, own[a], own[b]) for a, b, s in pairs], "id1 long, id2 long, score double, score1 int, score2 int")
+    assert sorted(r["id"] for r in greedy.drop_losers(scored).collect()) == sorted(gone)
 
 
 @pytest.mark.parametrize("size", [1, 3, 6])
@@ -54,6 +61,21 @@ def test_seed_clusters_in_order(spark, size):
     assert sorted((r["label"], r["seed"], r["id"]) for r in found) == sorted(out)
 
 
+def test_a_chain_of_many_rounds(spark):
+    pairs = spark.createDataFrame([(k, k + 1, 1.0 - k / 100) for k in range(20)], "id1 long, id2 long, score double")
+    assert sorted(r["id"] for r in greedy.drop_losers(pairs).collect()) == list(range(1, 21, 2))
+
+
+def test_a_vector_of_another_size_changes_nothing_else(spark):
+    rows = vectors(spark)
+    odd = rows.unionByName(spark.createDataFrame([(1_000, 0, [1.0]), (1_001, 0, [-2.0]), (1_002, 0, [3.0]), (1_003, 1, None), (1_004, 1, [float("nan")])], rows.schema))
+    for key in (None, "label"):
+        before, after = (sorted(map(tuple, block_join(df, "id", "embedding", 0.8, key).collect())) for df in (rows, odd))
+        assert after == sorted([*before, (1_000, 1_002, 1.0)])
+    before, after = (sorted(map(tuple, block_search(df.where("id % 30 = 0 OR id = 1000"), df, "id", "embedding", k=2).collect())) for df in (rows, odd))
+    assert [r for r in after if r[0] < 1_000] == before and [r[1:] for r in after if r[0] == 1_000] == [(1_000, 1.0), (1_002, 1.0)]
+
+
 def test_vectors_per_group_and_per_key(spark):
     s = cosines()
     wanted = {(q, x, j) for q in range(0, 90, 30) for x in range(3) for j in sorted((k for k, y, _ in VECTORS if y == x), key=lambda k: (-round(s[q, k], 9), k))[:2]}
