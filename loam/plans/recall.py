@@ -203,12 +203,6 @@ def communities(spark, sf_dir):
     return greedy.label_propagation(_edges(spark, sf_dir), 5)
 
 
-@REGISTRY.query()
-def expand_queries(spark, sf_dir):
-    """Variants of each query, the query itself first."""
-    return greedy.expand_queries(table(spark, sf_dir, "benchmark").select("item_id", "text"))
-
-
 @REGISTRY.query()
 def recall_pipeline(spark, sf_dir):
     """Search, fuse the models' lists, blend with importance, keep what is near the best."""
