@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PLANS = ("search", "ranking", "recall", "analytics", "graphs", "dedup", "lifecycle", "filters", "profiles", "texts", "streams", "context", "lexical", "multiquery")
+_PLANS = ("search", "ranking", "recall", "analytics", "graphs", "dedup", "lifecycle", "filters", "profiles", "texts", "streams", "context", "lexical", "multiquery", "names")
 
 
 def _collect(name: str) -> dict:

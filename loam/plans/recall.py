@@ -31,18 +31,6 @@ def agent_boost(spark, sf_dir):
     return found.select("query_id", "id", F.round(F.col("score") * own, 6).alias("score"), F.round(F.least(F.lit(1.0), F.col("score") * 1.5), 6).alias("delegated"))
 
 
-@REGISTRY.query(HITS + """
-, v AS (SELECT query_id, id, s FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM hits) WHERE r <= 20), g AS (SELECT query_id, id, 0.7 + 0.1 * (label % 3) AS g FROM hits WHERE label = 2)
-SELECT query_id, id, round(CASE WHEN s IS NOT NULL AND g IS NOT NULL THEN s * 1.2 ELSE coalesce(s, g) END, 6)::DOUBLE AS score FROM v FULL JOIN g USING (query_id, id)""")
-def graph_merge(spark, sf_dir):
-    """Graph hits lift what the search found, or join it at their own score."""
-    label = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    v = top_per_key(_hits(spark, sf_dir, k=20), ["query_id"], [F.desc("score"), F.asc("id")], 20)
-    g = _hits(spark, sf_dir).join(label, "id").where("label = 2").select("query_id", "id", (0.7 + 0.1 * (F.col("label") % 3)).alias("g"))
-    lifted = F.when(F.col("score").isNotNull() & F.col("g").isNotNull(), F.col("score") * 1.2).otherwise(F.coalesce("score", "g"))
-    return v.join(g, ["query_id", "id"], "full_outer").select("query_id", "id", F.round(lifted, 6).alias("score"))
-
-
 @REGISTRY.query(HITS + """
 , i AS (SELECT h.query_id, h.id, s + 0.3 * (0.6 + 0.4 * quality) AS x FROM hits h JOIN labels l ON l.doc_id = h.id WHERE quality = 1 AND s > 0.1)
 SELECT query_id, id, round(x, 6)::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, id) AS r FROM i) WHERE r <= 25""")
