@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loam.functions.vectors import top_per_key
 from loam.operators import dedup, fusion, greedy
+from loam.operators.communities import louvain, weighted_pairs
 from loam.plans.ranking import tokens
 from loam.plans.search import HITS, _hits, similar_pairs
 from loam.registry import Registry
@@ -185,10 +186,14 @@ def greedy_clusters(spark, sf_dir):
 
 @REGISTRY.query()
 def communities(spark, sf_dir):
-    """Communities of the module graph by label propagation."""
+    """Communities of parts, suppliers, nations and regions: an edge weighs as many line
+    items as make it, and similar vectors of parts tie them a little."""
     from loam.plans.graphs import _edges
 
-    return greedy.label_propagation(_edges(spark, sf_dir), 5)
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (F.lit(1_000_000_000) + F.col("l_suppkey")).alias("dst"))
+    rest = _edges(spark, sf_dir).where("src >= 1000000000")
+    soft = similar_pairs(table(spark, sf_dir, "embeddings"), 0.35).select(F.col("id1").alias("src"), F.col("id2").alias("dst"))
+    return louvain(weighted_pairs(items.unionByName(rest), soft))
 
 
 @REGISTRY.query()

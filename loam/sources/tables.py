@@ -7,6 +7,7 @@ line items time series, conversations sessions.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,15 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, in the shared folder that spark.checkpoint.dir names.
+    """``df`` written as a table in the shared folder that spark.checkpoint.dir names, and
+    read back: its lineage is cut, and its size is known.
 
     Only a local session, as in tests, gets a folder of its own where none is named:
     executors elsewhere would not see it.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="loam-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        known = context._jsc.sc().getCheckpointDir()
+        if not known.isDefined():
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loam-"))
+        folder = context._jsc.sc().getCheckpointDir().get()
+    path = f"{folder.rstrip('/')}/loam/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
