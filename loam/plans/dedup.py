@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loam.operators import dedup
+from loam.operators import dedup, merges
 from loam.registry import Registry
-from loam.sources.tables import table
+from loam.sources.tables import checkpointed, table
 
 REGISTRY = Registry()
 
@@ -87,11 +87,27 @@ def reinforce(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(hits.alias("used"), F.round(F.least(F.lit(1.0), 0.3 + 0.05 * hits), 6).alias("importance"))
 
 
-@REGISTRY.query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+@REGISTRY.query(r"""
+WITH d AS (SELECT doc_id, n_chars, sha256(lower(regexp_replace(text, '^\s+|\s+$', '', 'g'))) AS h FROM documents),
+c AS (SELECT h, min(doc_id) AS event, max(doc_id) AS newest, sum(n_chars)::BIGINT AS accesses FROM d GROUP BY h HAVING count(*) > 1),
+e AS (SELECT h, accesses, CASE WHEN event % 3 <> 0 THEN newest WHEN event % 6 = 0 THEN event END AS survivor FROM c)
+SELECT doc_id, survivor IS NULL OR survivor = doc_id AS live, CASE WHEN survivor <> doc_id THEN survivor END AS superseded_by, CASE WHEN survivor = doc_id THEN accesses ELSE n_chars END AS accesses
+FROM d LEFT JOIN e USING (h)""")
 def merge_rollback(spark, sf_dir):
-    """Records that no merge still in force has taken away."""
-    merged = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id").join(merged, "doc_id", "left_anti")
+    """Equal texts merged into the newest; every third merge is rolled back, and every sixth
+    made again into the oldest; the records that this ledger leaves."""
+    d = table(spark, sf_dir, "documents").withColumn("h", dedup.content_hash(F.col("text")))
+    cluster = d.groupBy("h").agg(F.min("doc_id").alias("cluster"))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = d.join(cluster, "h").select(
+        "cluster", F.col("doc_id").alias("id"), "text", none("string").alias("kind"), F.col("doc_id").alias("created"), none("long").alias("observed"),
+        F.lit(0.5).alias("importance"), F.col("n_chars").alias("accesses"), none("long").alias("accessed"),
+    )
+    first = merges.merge_events(rows, 1, F.lit("newest"))
+    back = merges.rollbacks(first.where("event % 3 = 0").select("event"), 2)
+    again = merges.merge_events(rows.where("cluster % 6 = 0"), 3, F.lit("oldest"), 1_000_000_000_000)
+    found = merges.records_at(rows, checkpointed(first.unionByName(back).unionByName(again)))
+    return found.select(F.col("id").alias("doc_id"), "live", "superseded_by", "accesses")
 
 
 @REGISTRY.query("""
