@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from loam.functions.vectors import block_join, block_search, cosine_distance, cosine_similarity, l2_normalize, top_per_key, valid_vector
 from loam.registry import Registry
-from loam.sources.tables import table
+from loam.sources.tables import shared_path, table
+from loam.sources.vectors import VectorStore
 
 REGISTRY = Registry()
 
@@ -169,3 +170,17 @@ def write_dedup_action(spark, sf_dir):
 def dedup_action(score, merged=0.93, reinforced=0.85, review=0.78):
     """The write-time decision; rows under review are created too."""
     return F.when(score >= merged, "merged").when(score >= reinforced, "reinforced").when(score >= review, "review").otherwise("create")
+
+
+@REGISTRY.query("""
+SELECT vec_id AS id, 'm' || (label % 3) AS model, round(CASE WHEN vec_id % 3 = 0 THEN -1 ELSE 1 END * embedding[1]::DOUBLE, 6) AS first, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS updated FROM embeddings""")
+def vector_sink(spark, sf_dir):
+    """Vectors written by id and model, a third of them once more, that batch delivered
+    twice; what the store then holds."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("m"), F.col("label") % 3).alias("model"), F.col("embedding").alias("vector"), F.lit(1).alias("updated"))
+    again = rows.where("id % 3 = 0").withColumn("vector", F.transform("vector", lambda x: -x)).withColumn("updated", F.lit(2))
+    store = VectorStore(spark, shared_path(spark, "vectors"))
+    for batch, some in enumerate((rows, again)):
+        store.upsert(some, "embeddings", batch)
+    store.upsert(again, "embeddings", 1)
+    return store.read().select("id", "model", F.round(F.element_at("vector", 1).cast("double"), 6).alias("first"), "updated")

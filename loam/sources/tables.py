@@ -16,14 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder that spark.checkpoint.dir names, and
-    read back: its lineage is cut, and its size is known.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names.
 
     Only a local session, as in tests, gets a folder of its own where none is named:
     executors elsewhere would not see it.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
@@ -33,6 +31,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loam-"))
         folder = context._jsc.sc().getCheckpointDir().get()
-    path = f"{folder.rstrip('/')}/loam/table-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/loam/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: its lineage is cut, and
+    its size is known."""
+    path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
