@@ -134,6 +134,92 @@ def block_join(rows: DataFrame, id_col: str, vector_col: str, min_score: float,
     return one.groupBy("key", "i", "j").cogroup(two.groupBy("key2", "i2", "j2")).applyInPandas(multiply, "id1 long, id2 long, score double")
 
 
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1, 1))
+
+
+def _reached(pivots: dict, widths: dict, least: float):
+    """For each row the cells that can hold a row of at least ``least`` with it: the angle
+    to the cell's pivot, less the cell's width, is no more than that of ``least``."""
+    reach = float(np.arccos(np.clip(least, -1, 1))) + 1e-6
+
+    def visits(batches):
+        for batch in batches:
+            rows, cells = [], []
+            sizes = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
+            for d in np.unique(sizes):
+                own = np.flatnonzero(sizes == d)
+                names, matrix = pivots[int(d)]
+                near = _angles(_unit(np.array(batch.column("v").take(pa.array(own)).to_pylist(), float)), matrix) - np.array([widths.get(int(c), -np.inf) for c in names]) <= reach
+                r, c = np.nonzero(near)
+                rows.append(own[r])
+                cells.append(np.asarray(names)[c])
+            rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            part = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(np.concatenate(cells).astype(np.int64) if cells else [], pa.int64())], names=["id", "v", "cell"])
+
+    return visits
+
+
+def cell_join(rows: DataFrame, id_col: str, vector_col: str, min_score: float, most_cells: int = 1_024) -> DataFrame:
+    """The rows of :func:`block_join` without a key, for similarities over 0.
+
+    Rows lie in the cells of their nearest pivots, rows drawn by the hash of their id, at
+    most ``most_cells`` for each size of vectors.  A row is compared only with cells whose
+    pivot and width, by the triangle inequality of angles, leave a pair of ``min_score``
+    possible, so what a row is copied to is what lies around it and not the whole table.
+    Crowded cells are split into blocks.  Pairs are the same as without cells.
+    """
+    if min_score <= 0:
+        return block_join(rows, id_col, vector_col, min_score)
+    good = rows.where(valid_vector(F.col(vector_col)) & (norm(F.col(vector_col)) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    counts = {r["d"]: r["n"] for r in good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return rows.sparkSession.createDataFrame([], "id1 long, id2 long, score double")
+    if max(counts.values()) <= BLOCK_ROWS:  # a block holds all: there is nothing to leave out
+        return block_join(rows, id_col, vector_col, min_score)
+    wanted = {d: min(most_cells, -(-n // BLOCK_ROWS)) for d, n in counts.items()}
+    ranked = Window.partitionBy(F.size("v")).orderBy(F.xxhash64("id"), "id")
+    some = F.element_at(F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv]), F.size("v"))
+    drawn = good.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= most_cells).where(F.col("place") <= some).collect()
+    pivots: dict = {}
+    for number, r in enumerate(sorted(drawn, key=lambda r: (len(r["v"]), r["place"]))):
+        pivots.setdefault(len(r["v"]), ([], []))[0].append(number)
+        pivots[len(r["v"])][1].append(r["v"])
+    pivots = {d: (names, _unit(np.array(vs, float))) for d, (names, vs) in pivots.items()}
+
+    def home(batches):
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
+            cell, angle = np.zeros(len(sizes), np.int64), np.zeros(len(sizes))
+            for d in np.unique(sizes):
+                own = np.flatnonzero(sizes == d)
+                far = _angles(_unit(np.array(batch.column("v").take(pa.array(own)).to_pylist(), float)), pivots[int(d)][1])
+                nearest = far.argmin(axis=1)
+                cell[own], angle[own] = np.asarray(pivots[int(d)][0])[nearest], far[np.arange(len(own)), nearest]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cell), pa.array(angle)], names=["id", "v", "cell", "angle"])
+
+    kind = rows.schema[vector_col].dataType.simpleString()
+    homes = good.mapInArrow(home, f"id long, v {kind}, cell long, angle double")
+    cells = homes.groupBy("cell").agg(F.max("angle").alias("width"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).collect()  # as many as pivots
+    widths, blocks = {r["cell"]: r["width"] for r in cells}, {r["cell"]: r["blocks"] for r in cells}
+    split = F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("cell"))
+    lying = homes.select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.col("cell").alias("cell2"), F.pmod(F.xxhash64("id"), split).cast("int").alias("block2"))
+    coming = good.mapInArrow(_reached(pivots, widths, min_score), f"id long, v {kind}, cell long")
+    coming = coming.select(F.col("id").alias("id1"), F.col("v").alias("v1"), "cell", F.explode(F.sequence(F.lit(0), split - 1)).alias("block"))
+
+    def multiply(place, a, b):
+        found = {"id1": np.zeros(0, np.int64), "id2": np.zeros(0, np.int64), "score": np.zeros(0)}
+        if len(a) and len(b):
+            scores = _unit(np.stack(a["v1"].to_numpy()).astype(float)) @ _unit(np.stack(b["v2"].to_numpy()).astype(float)).T
+            x, y = a["id1"].to_numpy(), b["id2"].to_numpy()
+            k, m = np.nonzero((scores >= min_score) & (x[:, None] < y))
+            found = {"id1": x[k], "id2": y[m], "score": scores[k, m]}
+        return pd.DataFrame(found)
+
+    return coming.groupBy("cell", "block").cogroup(lying.groupBy("cell2", "block2")).applyInPandas(multiply, "id1 long, id2 long, score double")
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """The first ``k`` rows of each key; ``rank`` names the column that numbers them."""
     name = rank or "__rank"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loam.functions.vectors import block_join, block_search, cosine_distance, cosine_similarity, l2_normalize, top_per_key, valid_vector
+from loam.functions.vectors import block_search, cell_join, cosine_distance, cosine_similarity, l2_normalize, top_per_key, valid_vector
 from loam.registry import Registry
 from loam.sources.tables import shared_path, table
 from loam.sources.vectors import VectorStore
@@ -145,7 +145,7 @@ def near_dup_pairs(spark, sf_dir, newest=None):
 
 def similar_pairs(rows, threshold, id_col="vec_id", vector_col="embedding"):
     """``(id1, id2, score)`` with id1 < id2, of any number of rows."""
-    return block_join(rows, id_col, vector_col, threshold)
+    return cell_join(rows, id_col, vector_col, threshold)
 
 
 @REGISTRY.query(HITS + """

@@ -76,6 +76,33 @@ def test_a_vector_of_another_size_changes_nothing_else(spark):
     assert [r for r in after if r[0] < 1_000] == before and [r[1:] for r in after if r[0] == 1_000] == [(1_000, 1.0), (1_002, 1.0)]
 
 
+def test_cells_give_the_pairs_of_blocks_and_copy_less(spark, monkeypatch):
+    import numpy as np
+
+    from loam.functions import vectors as v
+
+    monkeypatch.setattr(v, "BLOCK_ROWS", 40)
+    rnd = np.random.default_rng(7)
+    centres = rnd.normal(size=(25, 16))
+    rows = [(k, (centres[k % 25] + 0.15 * rnd.normal(size=16)).tolist()) for k in range(1_000)] + [(2_000 + k, [1.0, float(k)]) for k in range(5)] + [(3_000, [0.0] * 16), (3_001, None)]
+    rows += [(4_000 + k, centres[3].tolist()) for k in range(90)]  # a crowded cell
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    pairs = lambda found: {(r["id1"], r["id2"]): round(r["score"], 9) for r in found.collect()}
+    for least in (0.3, 0.9, 0.999):
+        joined = v.cell_join(df, "id", "v", least)
+        found = joined.collect()
+        assert len(found) == len({(r["id1"], r["id2"]) for r in found})
+        assert pairs(joined) == pairs(v.block_join(df, "id", "v", least))
+    assert pairs(v.cell_join(df, "id", "v", 0.9, most_cells=1)) == pairs(v.block_join(df, "id", "v", 0.9))
+    assert v.cell_join(df.limit(0), "id", "v", 0.9).count() == 0
+    unit, pivots = v._unit(np.array([x for _, x in rows[:1_000]])), {16: (list(range(25)), v._unit(centres))}
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1_000)), pa.array(unit.tolist())], names=["id", "v"])
+    visits = sum(b.num_rows for b in v._reached(pivots, dict.fromkeys(range(25), 0.4), 0.95)([batch]))
+    assert visits < 1_000 * 6  # of 25 cells
+
+
 def test_vectors_per_group_and_per_key(spark):
     s = cosines()
     wanted = {(q, x, j) for q in range(0, 90, 30) for x in range(3) for j in sorted((k for k, y, _ in VECTORS if y == x), key=lambda k: (-round(s[q, k], 9), k))[:2]}
