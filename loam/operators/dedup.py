@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Categories and words that protect a record.
-PROTECTED_TYPES = ("CONSTRAINT", "IDENTITY")
+# Types and words that protect a record, and an importance that is a reason to look.
+PROTECTED_TYPES = ["CONSTRAINT"]
+PROTECTED_WORDS = [
+    "allergy", "allergic", "allergies", "medication", "medicine", "drug", "medical", "health", "diagnosis", "emergency", "epipen", "anaphylaxis",
+    "danger", "dangerous", "warning", "never", "must not", "do not", "critical", "fatal", "lethal",
+    "password", "secret", "confidential", "ssn", "social security",
+]
+PROTECTED_IMPORTANCE = 0.9
+EXPLICIT = "EXPLICIT_STATEMENT"
 
 
 def content_hash(text: Column) -> Column:
@@ -14,11 +21,45 @@ def content_hash(text: Column) -> Column:
     return F.sha2(F.lower(F.regexp_replace(text, r"^\s+|\s+$", "")), 256)
 
 
+def safety(text: Column, kind: Column, importance: Column, accessed: Column, at: Column, pinned: Column) -> Column:
+    """A struct of ``reasons`` to be careful with a record, whether it is ``protected`` and
+    whether it needs a ``review``.
+
+    Reasons: its type, the first of the words anywhere in its text, its importance, an access
+    within a day before ``at``, and a pin.  Type and words protect; types that protect and
+    pins ask for a review.  Nulls are no reason.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    found = F.filter(F.array(*map(F.lit, PROTECTED_WORDS)), lambda w: F.contains(low, w))
+    by_type, pin = F.coalesce(kind.isin(PROTECTED_TYPES), F.lit(False)), F.coalesce(pinned, F.lit(False))
+    recent = F.coalesce(accessed > at - F.expr("interval 24 hours"), F.lit(False))
+    reasons = F.array(
+        F.when(by_type, F.concat(F.lit("type:"), kind)),
+        F.when(F.size(found) > 0, F.concat(F.lit("word:"), F.get(found, F.lit(0)))),
+        F.when(importance >= PROTECTED_IMPORTANCE, "importance"),
+        F.when(recent, "recent"),
+        F.when(pin, "pinned"),
+    )
+    return F.struct(F.filter(reasons, lambda r: r.isNotNull()).alias("reasons"), (by_type | (F.size(found) > 0)).alias("protected"), (by_type | pin).alias("review"))
+
+
+def pair_score(semantic: Column, text1: Column, text2: Column, source1: Column, source2: Column) -> Column:
+    """0.7 of the similarity, 0.2 of the share of words of four letters or more in common, and
+    0.1 of the authority of the sources: 1, 0.7 or 0.5 as both, one or none is explicit."""
+    words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit("(?<![a-z0-9_])[a-z]{4,}(?![a-z0-9_])"), F.lit(0)))
+    a, b = words(text1), words(text2)
+    overlap = F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b), F.lit(1))
+    explicit = sum(F.coalesce((s == EXPLICIT).cast("int"), F.lit(0)) for s in (source1, source2))
+    return 0.7 * semantic + 0.2 * overlap + 0.1 * F.when(explicit == 2, 1.0).when(explicit == 1, 0.7).otherwise(0.5)
+
+
 def cluster_action(least_similarity: Column, protected: Column, review: Column) -> Column:
+    """What becomes of a cluster: protected ones are left alone; those that need no review
+    merge by themselves from 0.82 on, all others from 0.80 on."""
     return (
         F.when(protected, "skip")
         .when((least_similarity >= 0.88) & ~review, "auto")
-        .when(least_similarity >= 0.82, "auto_resolve")
+        .when((least_similarity >= 0.82) & ~review, "auto_resolve")
         .when(least_similarity >= 0.80, "merge")
         .otherwise("queue")
     )

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loam.operators import dedup, merges
+from loam.functions.lexical import tokens
+from loam.operators import dedup, graph, merges
 from loam.registry import Registry
 from loam.sources.tables import checkpointed, table
 
@@ -28,14 +29,52 @@ def levenshtein_pairs(spark, sf_dir):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
-@REGISTRY.query("""
-WITH q AS (SELECT doc_id, coalesce(toxic, 0) AS toxic, 0.75 + (doc_id % 20) / 100.0 AS s, doc_id % 50 = 0 AS protected FROM documents LEFT JOIN labels USING (doc_id))
-SELECT doc_id, CASE WHEN protected THEN 'skip' WHEN s >= 0.88 AND toxic = 0 THEN 'auto' WHEN s >= 0.82 THEN 'auto_resolve' WHEN s >= 0.80 THEN 'merge' ELSE 'queue' END AS action FROM q""")
+#: Near copies: texts of a language whose distinct words have a Jaccard similarity of 0.7; equal texts once.
+COPIES = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, text, source, n_chars, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS x
+  FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY sha256(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))))
+), w AS (SELECT doc_id, lang, len(x) AS n, unnest(x) AS e FROM d),
+p AS (
+  SELECT id1, id2, c / (n1 + n2 - c)::DOUBLE AS s FROM (
+    SELECT a.doc_id AS id1, b.doc_id AS id2, any_value(a.n) AS n1, any_value(b.n) AS n2, count(*) AS c
+    FROM w a JOIN w b ON a.e = b.e AND a.lang = b.lang AND a.doc_id < b.doc_id GROUP BY 1, 2)
+  WHERE c / (n1 + n2 - c)::DOUBLE >= 0.7)
+"""
+
+
+def _copies(spark, sf_dir):
+    """The documents of COPIES with their words, and the pairs (id1, id2, s)."""
+    d = table(spark, sf_dir, "documents")
+    firsts = d.groupBy(dedup.content_hash(F.col("text")).alias("h")).agg(F.min("doc_id").alias("doc_id"))
+    kept = checkpointed(d.join(firsts, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("lang").alias("k"), "text", "source", "n_chars", F.array_distinct(tokens(F.col("text"))).alias("x")))
+    return kept, checkpointed(dedup.similar_sets(kept.where("size(x) > 0").select("id", "k", "x"), 0.7))
+
+
+@REGISTRY.query(COPIES + """
+, bidi AS (SELECT id1 AS a, id2 AS b FROM p UNION SELECT id2, id1 FROM p),
+reach AS (SELECT a, b FROM bidi UNION SELECT r.a, x.b FROM reach r JOIN bidi x ON r.b = x.a),
+comp AS (SELECT a AS doc_id, least(a, min(b)) AS cluster FROM reach GROUP BY a),
+safe AS (SELECT cluster, coalesce(toxic, 0) = 1 AS by_type, d.n_chars % 97 = 0 AS pin, len(list_filter(['allergy','allergic','allergies','medication','medicine','drug','medical','health','diagnosis','emergency','epipen','anaphylaxis',
+  'danger','dangerous','warning','never','must not','do not','critical','fatal','lethal','password','secret','confidential','ssn','social security'], lambda k: contains(lower(text), k))) > 0 AS word
+  FROM comp JOIN d USING (doc_id) LEFT JOIN labels USING (doc_id)),
+flags AS (SELECT cluster, count(*) AS members, bool_or(by_type OR word) AS protected, bool_or(by_type OR pin) AS review FROM safe GROUP BY cluster),
+sims AS (SELECT cluster, min(s) AS least FROM p JOIN comp ON comp.doc_id = id1 GROUP BY cluster)
+SELECT cluster, members, round(least, 6) AS least, CASE WHEN protected THEN 'skip' WHEN least >= 0.88 AND NOT review THEN 'auto' WHEN least >= 0.82 AND NOT review THEN 'auto_resolve' WHEN least >= 0.80 THEN 'merge' ELSE 'queue' END AS action
+FROM flags JOIN sims USING (cluster)""")
 def dedup_decision(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    s = (F.lit(75) + F.col("doc_id") % 20) / 100
-    action = dedup.cluster_action(F.round(s, 2), F.col("doc_id") % 50 == 0, F.coalesce(F.col("toxic") == 1, F.lit(False)))
-    return d.select("doc_id", action.alias("action"))
+    """What becomes of each cluster of near copies, by its least similarity and the safety of
+    its members: toxic texts stand for the protected type, odd lengths for pins."""
+    docs, pairs = _copies(spark, sf_dir)
+    comp = checkpointed(graph.components(pairs.select(F.col("id1").alias("src"), F.col("id2").alias("dst"))))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic", "quality")
+    kind, never = F.when(F.col("toxic") == 1, "CONSTRAINT"), F.lit(None).cast("timestamp")
+    careful = dedup.safety(F.col("text"), kind, 0.3 + 0.6 * F.col("quality"), never, F.lit("2024-03-01").cast("timestamp"), F.col("n_chars") % 97 == 0)
+    rows = comp.withColumnRenamed("node", "id").join(docs.drop("x", "k"), "id").join(labels, "id", "left").select("component", careful.alias("c"))
+    flags = rows.groupBy("component").agg(F.count("*").alias("members"), F.bool_or("c.protected").alias("protected"), F.bool_or("c.review").alias("review"))
+    least = pairs.join(comp, pairs["id1"] == comp["node"]).groupBy("component").agg(F.min("s").alias("least"))
+    action = dedup.cluster_action(F.col("least"), F.col("protected"), F.col("review"))
+    return flags.join(least, "component").select(F.col("component").alias("cluster"), "members", F.round("least", 6).alias("least"), action.alias("action"))
 
 
 @REGISTRY.query("""
@@ -70,13 +109,20 @@ def reconcile(spark, sf_dir):
     return both.groupBy(F.when(F.col("b").isNull(), "local_only").when(F.col("a").isNull(), "cloud_only").otherwise("shared").alias("side")).agg(F.count("*").alias("n"))
 
 
-@REGISTRY.query("""
-SELECT doc_id, round(0.7 * ((doc_id % 10) / 10.0) + 0.2 * ((doc_id % 7) / 7.0) + 0.1 * CASE lang WHEN 'en' THEN 1.0 WHEN 'de' THEN 0.7 ELSE 0.5 END, 6)::DOUBLE AS score FROM documents""")
+@REGISTRY.query(COPIES + """
+, f AS (SELECT doc_id, source, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda w: regexp_matches(w, '^[a-z]{4,}$'))) AS f FROM d)
+SELECT id1, id2, round(s, 6) AS similarity, round(0.7 * s + 0.2 * len(list_intersect(a.f, b.f)) / greatest(len(a.f), len(b.f), 1)
+  + 0.1 * CASE (a.source = 'src1')::INT + (b.source = 'src1')::INT WHEN 2 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.5 END, 6)::DOUBLE AS score
+FROM p JOIN f a ON a.doc_id = id1 JOIN f b ON b.doc_id = id2""")
 def pair_score(spark, sf_dir):
-    """Semantic, word and authority shares of a pair's score."""
-    authority = F.when(F.col("lang") == "en", 1.0).when(F.col("lang") == "de", 0.7).otherwise(0.5)
-    score = 0.7 * ((F.col("doc_id") % 10) / 10) + 0.2 * ((F.col("doc_id") % 7) / 7) + 0.1 * authority
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(score, 6).alias("score"))
+    """Similarity, words in common and authority of each pair of near copies; one source
+    stands for explicit statements."""
+    docs, pairs = _copies(spark, sf_dir)
+    source = F.when(F.col("source") == "src1", dedup.EXPLICIT).otherwise(F.col("source"))
+    side = lambda k: docs.select(F.col("id").alias(f"id{k}"), F.col("text").alias(f"t{k}"), source.alias(f"o{k}"))
+    both = pairs.join(side(1), "id1").join(side(2), "id2")
+    score = dedup.pair_score(F.col("s"), *map(F.col, ("t1", "t2", "o1", "o2")))
+    return both.select("id1", "id2", F.round("s", 6).alias("similarity"), F.round(score, 6).alias("score"))
 
 
 @REGISTRY.query("""
