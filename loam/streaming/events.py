@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,8 +53,9 @@ MARKER_SCHEMA = "user_id long, event_id long, gap_s double"
 def gap_markers(stream: DataFrame, seconds: int = 600) -> DataFrame:
     """Markers where a user's event comes more than ``seconds`` after the last one seen.
 
-    State is one timestamp per user.  Events are put in order within a batch; one
-    that arrives later than a newer one gets no marker.
+    State is one timestamp per user, which stays, since an event after any pause is
+    marked.  Events are put in order within a batch; one that arrives later than a newer
+    one gets no marker.
     """
 
     def mark(key: tuple, frames, state: GroupState):
@@ -81,7 +84,8 @@ def rate_limit(df: DataFrame, limit: int, seconds: int = 3600) -> DataFrame:
 
     On a stream, state is the seconds of a user's rows in the last window, so its size
     is that of one window; rows are put in order within a batch, and one that arrives
-    after a newer one is counted with what is left of its window.
+    after a newer one is counted with what is left of its window.  When the watermark has
+    passed a user's window, which holds no row that counts any more, the state is freed.
     """
     at = F.unix_timestamp(F.col("ts").cast("timestamp"))
     if not df.isStreaming:
@@ -89,18 +93,22 @@ def rate_limit(df: DataFrame, limit: int, seconds: int = 3600) -> DataFrame:
         return df.withColumn("n", F.count("*").over(w)).where(F.col("n") > limit).select("user_id", "event_id", "n")
 
     def count(key: tuple, frames, state: GroupState):
-        held = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = sorted(state.get[0]) if state.exists else []
         found = [f for f in frames if len(f)]
         if not found:
             return
         whole, out = pd.concat(found).sort_values(["at", "event_id"]), []
         for now, rows in whole.groupby("at", sort=True):
-            held += [int(now)] * len(rows)
-            n = sum(now - seconds <= t <= now for t in held)
+            at = bisect_right(held, now)
+            held[at:at] = [int(now)] * len(rows)
+            n = at + len(rows) - bisect_left(held, now - seconds)
             out += [(key[0], event_id, n) for event_id in rows["event_id"] if n > limit]
-        newest = max(held)
-        state.update(([t for t in held if t >= newest - seconds],))
+        state.update((held[bisect_left(held, held[-1] - seconds) :],))
+        state.setTimeoutTimestamp(max((held[-1] + seconds + 1) * 1_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "n"])
 
-    keyed = df.select("user_id", "event_id", at.alias("at"))
-    return keyed.groupBy("user_id").applyInPandasWithState(count, RATE_SCHEMA, "held array<long>", "append", GroupStateTimeout.NoTimeout)
+    keyed = df.select("user_id", "event_id", "ts", at.alias("at"))
+    return keyed.groupBy("user_id").applyInPandasWithState(count, RATE_SCHEMA, "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
