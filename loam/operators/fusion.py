@@ -5,7 +5,7 @@ Lists are rows of (query_id, source, id, rank, score) with ranks from 1.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 RRF_K = 60
@@ -90,6 +90,11 @@ def propensity(rank: Column, n: int, k: int = RRF_K) -> Column:
     return (1.0 / (k + rank)) / total
 
 
+def propensity_among(rank: Column, window: WindowSpec, k: int = RRF_K) -> Column:
+    """The same where a list's ranks, from 0, are the rows of ``window``."""
+    return (1.0 / (k + rank)) / F.sum(1.0 / (k + rank)).over(window)
+
+
 def importance_multiplier(importance: Column) -> Column:
     return F.when(importance < 0.35, 0.4).otherwise(1.0)
 

@@ -149,9 +149,14 @@ def usage_signal(spark, sf_dir):
     return _users(spark, sf_dir).select("user_id", F.round(usage, 6).alias("usage"), F.round(fusion.usage_blend(F.lit(0.5), usage, F.col("net")), 6).alias("blended"))
 
 
-@REGISTRY.query("SELECT r AS rank, round((1.0 / (60 + r)) / (SELECT sum(1.0 / (60 + i)) FROM range(0, 20) t(i)), 6) AS propensity FROM range(0, 20) x(r)")
+@REGISTRY.query("""
+WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) - 1 AS rank FROM events)
+SELECT user_id, event_id, rank, round((1.0::DOUBLE / (60 + rank)) / sum(1.0::DOUBLE / (60 + rank)) OVER (PARTITION BY user_id), 6) AS propensity FROM r""")
 def propensity(spark, sf_dir):
-    return spark.range(20).select(F.col("id").alias("rank"), F.round(fusion.propensity(F.col("id"), 20), 6).alias("propensity"))
+    """How likely each of a user's events, by value, is to be looked at."""
+    order = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
+    ranked = table(spark, sf_dir, "events").select("user_id", "event_id", (F.row_number().over(order) - 1).cast("long").alias("rank"))
+    return ranked.withColumn("propensity", F.round(fusion.propensity_among(F.col("rank"), Window.partitionBy("user_id")), 6))
 
 
 TOKENS = """

@@ -33,13 +33,25 @@ def safety_patterns(spark, sf_dir):
 
 
 @REGISTRY.query("""
-SELECT i AS id, TRY_CAST(regexp_replace(x, '[$,\\s]', '', 'g') AS DOUBLE) AS currency, CASE WHEN trim(x) = '0' THEN NULL ELSE TRY_CAST(regexp_replace(x, '[%,\\s]', '', 'g') AS DOUBLE) / 100 END AS percent, TRY_CAST(regexp_replace(x, '[,\\s]', '', 'g') AS DOUBLE) AS number
-FROM (VALUES (1, '$1,347.42'), (2, '6,968'), (3, '35.06%'), (4, '< 10%'), (5, 'No data'), (6, ''), (7, '--'), (8, '0'), (9, NULL)) t(i, x)""")
+WITH w AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN format('${:,.2f}', o_totalprice) WHEN 1 THEN format('{:,}', o_orderkey * 1000) WHEN 2 THEN format('{:.2f}%', (o_orderkey % 10000) / 100.0::DOUBLE)
+  WHEN 3 THEN '< 10%' WHEN 4 THEN 'No data' WHEN 5 THEN '--' ELSE '0' END AS x FROM orders)
+SELECT o_orderkey AS id, x AS written, TRY_CAST(regexp_replace(x, '[$,\\s]', '', 'g') AS DOUBLE) AS currency,
+  CASE WHEN trim(x) = '0' THEN NULL ELSE TRY_CAST(regexp_replace(x, '[%,\\s]', '', 'g') AS DOUBLE) / 100 END AS percent, TRY_CAST(regexp_replace(x, '[,\\s]', '', 'g') AS DOUBLE) AS number FROM w""")
 def locale_numbers(spark, sf_dir):
-    rows = list(enumerate(["$1,347.42", "6,968", "35.06%", "< 10%", "No data", "", "--", "0", None], 1))
-    x = F.col("x")
-    d = spark.createDataFrame(rows, "id int, x string")
-    return d.select("id", texts.parse_currency(x).alias("currency"), texts.parse_percent(x).alias("percent"), texts.parse_number(x).alias("number"))
+    """Prices, counts and shares of orders as reports write them, and what is read from each."""
+    kind, key = F.col("o_orderkey") % 7, F.col("o_orderkey")
+    written = (
+        F.when(kind == 0, F.concat(F.lit("$"), F.format_number("o_totalprice", 2)))
+        .when(kind == 1, F.format_number(key * 1000, 0))
+        .when(kind == 2, F.concat(F.format_number(key % 10000 / 100.0, 2), F.lit("%")))
+        .when(kind == 3, "< 10%")
+        .when(kind == 4, "No data")
+        .when(kind == 5, "--")
+        .otherwise("0")
+    )
+    x = F.col("written")
+    d = table(spark, sf_dir, "orders").select(key.alias("id"), written.alias("written"))
+    return d.select("id", "written", texts.parse_currency(x).alias("currency"), texts.parse_percent(x).alias("percent"), texts.parse_number(x).alias("number"))
 
 
 @REGISTRY.query("SELECT doc_id, substr(sha256(concat_ws(':', source, lang, n_chars::VARCHAR, doc_id::VARCHAR)), 1, 16) AS dedupe_key FROM documents")
