@@ -5,7 +5,7 @@ Lists are rows of (query_id, source, id, rank, score) with ranks from 1.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 RRF_K = 60
@@ -64,10 +64,10 @@ def fuse_max(lists: DataFrame) -> DataFrame:
 def fuse_minmax(lists: DataFrame) -> DataFrame:
     """Scores scaled between each list's least and largest (1 where equal); the best
     per result."""
-    ends = lists.groupBy("query_id", "source").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    scaled = lists.join(ends, ["query_id", "source"]).withColumn(
-        "fused", F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")))
-    )
+    # By a window, as a join would search again and meet its own union of lists.
+    own = Window.partitionBy("query_id", "source")
+    ends = lists.withColumns({"lo": F.min("score").over(own), "hi": F.max("score").over(own)})
+    scaled = ends.withColumn("fused", F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))))
     return scaled.groupBy("query_id", "id").agg(F.max("fused").alias("fused"))
 
 
