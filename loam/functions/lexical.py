@@ -24,6 +24,8 @@ from loam.sources.tables import checkpointed
 QUERIES_AT_ONCE, WORDS_AT_ONCE = 10_000, 500_000
 #: Scores that a task holds at once, and bytes of text.
 SCORES_AT_ONCE, TEXT_AT_ONCE = 1 << 20, 4 << 20
+#: Words of documents times those who ask for them that a task holds at once.
+MEETINGS_AT_ONCE = 1 << 19
 #: Saturation of counts and weight of a field's length.
 K1, B = 1.2, 0.75
 #: Letters of a word from which deletions are made.
@@ -75,15 +77,33 @@ class _Asked:
         self.starts = np.array(first, np.int64)
         self.sizes = np.diff(np.array([*first, len(names)], np.int64))
 
-    def meet(self, doc: np.ndarray, word: np.ndarray, value: np.ndarray, words: list[str]) -> tuple[np.ndarray, ...]:
-        """Documents and values of the words that are asked for, once for each asker, and
-        the askers' columns."""
+    def meet(self, doc: np.ndarray, word: np.ndarray, value: np.ndarray, words: list[str], cost: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+        """Documents, in order, and values of the words that are asked for, once for each
+        asker, and the askers' columns; in runs of whole documents, MEETINGS_AT_ONCE at a
+        time or one document's.  ``cost``: how many meetings each asker counts for.
+        """
         row = np.array([self.rows.get(w, -1) for w in words], np.int64)
         row = row[word] if len(words) else np.zeros(0, np.int64)
         doc, value, row = doc[row >= 0], value[row >= 0], row[row >= 0]
-        sizes = self.sizes[row] if len(row) else np.zeros(0, np.int64)
-        at = _ranges(self.starts[row], sizes) if len(row) else np.zeros(0, np.int64)
-        return np.repeat(doc, sizes), np.repeat(value, sizes), *[c[at] for c in self.columns]
+        if not len(doc):
+            return
+        each = self.sizes if cost is None else np.add.reduceat(cost, self.starts)
+        total, begin = np.cumsum(each[row]), 0
+        while begin < len(doc):
+            end = int(np.searchsorted(total, (total[begin - 1] if begin else 0) + MEETINGS_AT_ONCE, side="right"))
+            if end < len(doc):  # back to where that document begins, or on to where the only one ends
+                end = max(int(np.searchsorted(doc, doc[end])), int(np.searchsorted(doc, doc[begin], side="right")))
+            own = row[begin:end]
+            sizes = self.sizes[own]
+            at = _ranges(self.starts[own], sizes)
+            yield np.repeat(doc[begin:end], sizes), np.repeat(value[begin:end], sizes), *[c[at] for c in self.columns]
+            begin = end
+
+
+def _add(scores: np.ndarray, doc: np.ndarray, item: np.ndarray, value: np.ndarray) -> None:
+    """Adds values of documents, in order, and questions to their scores."""
+    first, last, items = int(doc[0]), int(doc[-1]) + 1, scores.shape[1]
+    scores[first:last] += np.bincount((doc - first) * items + item.astype(np.int64), value, (last - first) * items).reshape(-1, items)
 
 
 def _best(ids: np.ndarray, items: np.ndarray, scores: np.ndarray, k: int) -> pa.RecordBatch:
@@ -134,8 +154,9 @@ def _tfidf(docs: DataFrame, asked: DataFrame, n: int, k: int) -> DataFrame:
         for batch in batches:
             for part in _slices(batch, ["text"], max(1, SCORES_AT_ONCE // max(1, len(items)))):
                 doc, word, tf, words, _ = _counted(part.column("text"))
-                doc, value, item, weight = known.meet(doc, word, 1 + np.log(tf), words)
-                scores = np.bincount(doc * len(items) + item.astype(np.int64), value * weight, part.num_rows * len(items)).reshape(part.num_rows, len(items))
+                scores = np.zeros((part.num_rows, len(items)))
+                for doc, value, item, weight in known.meet(doc, word, 1 + np.log(tf), words):
+                    _add(scores, doc, item, value * weight)
                 yield _best(part.column("doc_id").to_numpy(zero_copy_only=False), items, np.round(scores, 3), k)
 
     found = docs.where("doc_id is not null").mapInArrow(search, "item_id long, doc_id long, score double")
@@ -230,30 +251,35 @@ def _fielded(texts: DataFrame, asked: DataFrame, near: DataFrame, means: dict, w
     for r in near.join(own, "word", "left_semi").collect():
         idf = float(np.log(1 + (means[r["field"]][0] - r["df"] + 0.5) / (r["df"] + 0.5)))
         stand.setdefault(r["word"], []).append((r["field"], r["term"], (1 - r["edits"] / min(len(r["word"]), len(r["term"]))) * idf))
-    pairs = [(i, w) for i, r in enumerate(rows) for w in r["words"]]
+    numbers: dict[str, int] = {}
+    pairs = [(numbers.setdefault(w, len(numbers)), i) for i, r in enumerate(rows) for w in r["words"]]
+    askers = np.array([i for _, i in sorted(pairs)], np.int64)  # of the words in turn
+    often = np.bincount([w for w, _ in pairs], minlength=len(numbers)) if pairs else np.zeros(0, np.int64)
     known = {}
     for name in weights:
-        entries = [(term, p, i, x) for p, (i, w) in enumerate(pairs) for field, term, x in stand.get(w, ()) if field == name]
-        known[name] = _Asked(*([list(c) for c in zip(*entries, strict=True)] if entries else [[], [], [], []]))
-    sent = texts.sparkSession.sparkContext.broadcast((items, known, len(pairs)))
+        entries = [(term, numbers[w], x) for w, those in stand.items() for field, term, x in those if field == name]
+        known[name] = _Asked(*([list(c) for c in zip(*entries, strict=True)] if entries else [[], [], []]))
+    sent = texts.sparkSession.sparkContext.broadcast((items, known, askers, often))
 
     def search(batches):
-        items, known, most = sent.value
+        items, known, askers, often = sent.value
+        starts = np.cumsum(often) - often
         for batch in batches:
             for part in _slices(batch, [f"text_{name}" for name in weights], max(1, SCORES_AT_ONCE // max(1, len(items)))):
                 total = np.zeros((part.num_rows, len(items)))
                 for name, boost in weights.items():
                     doc, word, tf, words, sizes = _counted(part.column(f"text_{name}"))
                     value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / (means[name][1] or 1)))
-                    doc, value, pair, item, weight = known[name].meet(doc, word, value, words)
-                    if len(doc):
-                        key = doc * most + pair
+                    sums = np.zeros_like(total)
+                    # An asked word's best in each document, then once for each who asks for it.
+                    for doc, value, asked, weight in known[name].meet(doc, word, value, words, often[known[name].columns[0].astype(np.int64)]):
+                        key = doc * len(often) + asked.astype(np.int64)
                         order = np.argsort(key, kind="stable")
                         first = np.flatnonzero(np.diff(key[order], prepend=-1))
-                        best = np.maximum.reduceat((value * weight)[order], first)
-                        at = order[first]
-                        sums = np.bincount(doc[at] * len(items) + item[at], best, total.size).reshape(total.shape)
-                        total = np.maximum(total, boost * sums)
+                        best, key = np.maximum.reduceat((value * weight)[order], first), key[order[first]]
+                        n = often[key % len(often)]
+                        _add(sums, np.repeat(key // len(often), n), askers[_ranges(starts[key % len(often)], n)], np.repeat(best, n))
+                    total = np.maximum(total, boost * sums)
                 yield _best(part.column("doc_id").to_numpy(zero_copy_only=False), items, np.round(total, 6), k)
 
     return texts.mapInArrow(search, "item_id long, doc_id long, score double")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ FULL_TEXT_SCORE, RESCUE_SCORE, IDENTITY_SCORE = 1.25, 1.1, 1.15
 RESCUE_TERMS, RESCUE_ROWS, FULL_TEXT_ROWS = 8, 20, 100
 #: Terms of all questions that one search takes.
 MOST_TERMS = 1_000_000
+#: Rows found that a task makes at once, and those of one text more.
+PAIRS_AT_ONCE = 1 << 17
 
 
 def rescue_terms(text):
@@ -24,12 +28,15 @@ def rescue_terms(text):
     return F.slice(words, 1, RESCUE_TERMS)
 
 
-def rows_with_terms(docs: DataFrame, questions: DataFrame) -> DataFrame:
+def rows_with_terms(docs: DataFrame, questions: DataFrame, largest: list[str] | None = None, k: int = RESCUE_ROWS) -> DataFrame:
     """``(query_id, id, ...)``: rows of ``docs`` (id, text, ...) whose lower-cased text has one
     of a question's terms anywhere, and what else ``docs`` brings.
 
     ``questions``: (query_id, terms).  All terms are looked for in one pass over a text, of
-    any length; null texts have none.
+    any length; null texts have none.  Rows are made PAIRS_AT_ONCE at a time, without
+    their texts.  ``largest``: columns without nulls whose largest values come first; of
+    so many rows only the first ``k`` of each question leave a task, and those alone are
+    needed for the first ``k`` of all.
     """
     asked = questions.where("size(terms) > 0").select("query_id", F.explode("terms").alias("term")).limit(MOST_TERMS + 1).collect()
     if len(asked) > MOST_TERMS:
@@ -41,17 +48,33 @@ def rows_with_terms(docs: DataFrame, questions: DataFrame) -> DataFrame:
 
     def look(batches):
         machine = ahocorasick.Automaton()
-        for term, who in sent.value.items():
-            machine.add_word(term, who)
+        for term in sent.value:
+            machine.add_word(term, term)
         machine.make_automaton()
-        for batch in batches:
+
+        def pairs(texts):
             rows, queries = [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                found = set().union(*(who for _, who in machine.iter((text or "").lower()))) if len(machine) else ()
-                rows += [k] * len(found)
+            for n, text in enumerate(texts):
+                terms = {term for _, term in machine.iter((text.as_py() or "").lower())} if len(machine) else ()
+                found = set().union(*(sent.value[term] for term in terms))
+                rows += [n] * len(found)
                 queries += sorted(found)
-            part = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), *[part.column(n) for n in part.schema.names if n != "text"]], names=["query_id", *[n for n in part.schema.names if n != "text"]])
+                if len(rows) >= PAIRS_AT_ONCE:
+                    yield rows, queries
+                    rows, queries = [], []
+            yield rows, queries
+
+        for batch in batches:
+            bare = batch.drop_columns(["text"])
+            for rows, queries in pairs(batch.column("text")):
+                at, who = np.array(rows, np.int64), np.array(queries, np.int64)
+                if largest:
+                    own = bare.take(pa.array(at))
+                    first = pc.sort_indices(own.append_column("query_id", pa.array(who)), [("query_id", "ascending"), *[(c, "descending") for c in largest]]).to_numpy()
+                    begins = np.flatnonzero(np.diff(who[first], prepend=who[first[:1]] - 1))
+                    place = np.arange(len(first)) - np.repeat(begins, np.diff(np.r_[begins, len(first)]))
+                    at, who = at[first[place < k]], who[first[place < k]]
+                yield pa.RecordBatch.from_arrays([pa.array(who), *bare.take(pa.array(at)).columns], names=["query_id", *bare.schema.names])
 
     others = [c for c in docs.columns if c != "text"]
     schema = docs.select(F.lit(0).cast("long").alias("query_id"), *others).schema

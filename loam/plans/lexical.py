@@ -86,7 +86,7 @@ def lexical_rescue(spark, sf_dir):
     full = search_fields(docs, "doc_id", _fields(docs), asked, "query_id", "text", rescue.FULL_TEXT_ROWS).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"))
     importance = F.coalesce(0.3 + 0.6 * F.col("quality"), F.lit(0.5)).alias("importance")
     rows = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("doc_id").alias("id"), "text", importance)
-    found = rescue.rows_with_terms(rows, asked.select("query_id", rescue.rescue_terms(F.col("text")).alias("terms")))
+    found = rescue.rows_with_terms(rows, asked.select("query_id", rescue.rescue_terms(F.col("text")).alias("terms")), ["importance", "id"])
     found = rescue.best_rows(found, [F.desc("importance"), F.desc("id")])
     merged = rescue.inject(hits, [(full, rescue.FULL_TEXT_SCORE), (found, rescue.RESCUE_SCORE)])
     return merged.select("query_id", "id", F.round("score", 6).alias("score"), "rescued")
