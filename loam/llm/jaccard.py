@@ -15,12 +15,16 @@ links are closed by connected components.  No pair that reaches it is missed:
   room for the overlap, and differ little in size.
 * Sets of one component need not be compared.  First all sets with a prefix shingle are
   compared with a few of them, which joins groups in as many rows as they have members.
-  Then all pairs that are in different components still are compared.
+  Then all pairs that are in different components still are compared, in rounds: the sets
+  of a frequent shingle are dealt into parts, and pairs of a part are compared.  A group
+  in which a share of the pairs are similar is joined in the first rounds by as many rows
+  as it has members; the last round has one part, so no pair is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,9 @@ SHARE = (4, 5)
 COMMON = 10
 #: Sets that all with a shingle in common are compared with first.
 HEADS = 3
+#: Sets with a shingle in common that are compared in the first round, and how many times
+#: more in each round that follows.
+MEMBERS, MORE = 128, 4
 
 
 def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,17 +198,32 @@ def _shared_prefixes(scratch: Scratch, sets: DataFrame) -> DataFrame:
     return out
 
 
-def _mixed(scratch: Scratch, places: DataFrame, links: DataFrame) -> DataFrame:
+def _mixed(scratch: Scratch, places: DataFrame, links: DataFrame, most: int, turn: int) -> DataFrame:
     """Of the prefix shingles those whose sets are in different components, with each
-    set's component; a kept table."""
+    set's component, the commonest of them, the number of sets, and a part to which the
+    set is dealt where they are over ``most``; a kept table."""
     found = connected_components(links, "a", "b")
-    labelled = scratch.keep(places.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "labelled")
-    mixed = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
-    out = scratch.keep(labelled.join(scratch.keep(mixed, "mixed-shingles"), "shingle"), "mixed")
-    scratch.drop("labelled", "mixed-shingles")
+    labelled = scratch.keep(places.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), f"labelled-{turn}")
+    each = labelled.groupBy("shingle", "label").agg(F.count("*").alias("c"))
+    mixed = each.groupBy("shingle").agg(F.count("*").alias("labels"), F.sum("c").alias("members"), F.max_by("label", F.struct("c", "label")).alias("major"))
+    mixed = scratch.keep(mixed.where("labels > 1").drop("labels"), f"mixed-shingles-{turn}")
+    # Powers of two, so that pairs which meet by several shingles meet by most of them.
+    parts = F.when(F.col("members") > most, F.pow(F.lit(2.0), F.ceil(F.log2(F.col("members") / most)))).otherwise(1.0).cast("long")
+    part = F.pmod(F.xxhash64("node", F.lit(turn)), parts)
+    out = scratch.keep(labelled.join(mixed, "shingle").withColumn("part", part), f"mixed-{turn}")
+    scratch.drop(f"labelled-{turn}", f"mixed-shingles-{turn}")
     return out
 
 
+def _across(mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of different components in one part of a shingle.  One of them
+    is not of the commonest component, whose own sets don't meet each other."""
+    one, two = (mixed.select("shingle", "part", "major", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "p", "label")]) for k in (1, 2))
+    met = one.where("label1 <> major").join(two.drop("major"), ["shingle", "part"])
+    met = met.where("label1 <> label2 AND (label2 = major OR node1 > node2)").where(_possible())
+    return met.select(F.greatest("node1", "node2").alias("a"), F.least("node1", "node2").alias("b")).distinct()
+
+
 def _links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, index: Callable[[DataFrame], DataFrame], shingle: int) -> DataFrame:
     """Pairs (a, b) of nodes that reach SHARE, enough to join all that do."""
     near = scratch.keep(_near_fingerprints(nodes, index), "near")
@@ -229,14 +251,23 @@ def _links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, index: Callable[
     links.append(scratch.keep(_verified(pairs, sets), "links-heads"))
     scratch.drop("heads")
 
-    mixed = _mixed(scratch, places, _union(links))
-    one, two = (mixed.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "p", "label")]) for k in (1, 2))
-    across = one.join(two, "shingle").where("node1 > node2 and label1 <> label2").where(_possible())
-    rest = across.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
-    rest = scratch.keep(rest.join(near.unionByName(pairs), ["a", "b"], "left_anti"), "rest")
-    links.append(scratch.keep(_verified(rest, sets), "links-rest"))
-    scratch.drop("near", "wanted", "sets", "places", "mixed", "pairs", "rest")
-    return _union(links)
+    done, most = [near, pairs], MEMBERS
+    for turn in count():
+        mixed = _mixed(scratch, places, _union(links), most, turn)
+        largest = mixed.agg(F.max("members")).first()[0]
+        if largest is None:
+            break
+        rest = _across(mixed).join(_union(done), ["a", "b"], "left_anti")
+        done.append(scratch.keep(rest, f"rest-{turn}"))
+        links.append(scratch.keep(_verified(done[-1], sets), f"links-rest-{turn}"))
+        scratch.drop(f"mixed-{turn}")
+        if largest <= most:
+            break
+        most *= MORE
+    scratch.drop("near", "wanted", "sets", "places", "pairs", *[f"rest-{k}" for k in range(turn + 1)], f"mixed-{turn}")
+    out = scratch.keep(_union(links), "links")
+    scratch.drop("links-near", "links-heads", *[f"links-rest-{k}" for k in range(len(links) - 2)])
+    return out
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -269,5 +300,5 @@ def similar_components(docs: DataFrame, index: Callable[[DataFrame], DataFrame],
     least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
     found = scratch.keep(placed.join(least, "component").select("k1", "k2", "n", "component_id"), "found")
     out = scratch.keep(rows.select("doc_id", "k1", "k2", "n").join(found, ["k1", "k2", "n"], "left").select("doc_id", "component_id"), "components")
-    scratch.drop("rows", "named", "nodes", "placed", "found", "links-near", "links-heads", "links-rest")
+    scratch.drop("rows", "named", "nodes", "placed", "found", "links")
     return out
