@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from loam.sources.tables import checkpointed
 
+#: Edges of a task of a traversal.
+EDGES_A_TASK = 250_000
+
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)``: the smallest node of each connected component.
@@ -31,12 +34,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _dealt(edges: DataFrame) -> DataFrame:
+    """Distinct edges, dealt by ``src`` into as many tasks as there are edges for: a fixed
+    number of tasks, or tasks joined by their compressed bytes, grow with the table."""
+    edges = checkpointed(edges.select("src", "dst"))
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // EDGES_A_TASK))
+    return edges.repartition(parts, "src").distinct()
+
+
 def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int, directed: bool = True) -> DataFrame:
     """``(seed, node, depth)``: nodes within ``max_depth`` edges of each seed, with the
     least depth.  Each round joins the newly reached nodes only."""
     if not directed:
         edges = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    edges = edges.select("src", "dst").distinct()
+    edges = _dealt(edges)
     reached = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).cast("long").alias("depth"))
     frontier = reached
     for depth in range(1, max_depth + 1):
@@ -49,7 +60,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int, directed: bool
 def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 4) -> DataFrame:
     """``(seed, node, depth, path)``: a shortest directed path; of equals the first by
     its nodes.  A node keeps one path, so paths don't multiply."""
-    edges = edges.select("src", "dst").distinct()
+    edges = _dealt(edges)
     reached = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).cast("long").alias("depth"), F.array("node").alias("path"))
     frontier = reached
     for depth in range(1, max_depth + 1):
