@@ -63,5 +63,5 @@ def contextual_recall(spark, sf_dir):
     rows = e.where("vec_id % 100 <> 0").join(table(spark, sf_dir, "documents"), e["vec_id"] == F.col("doc_id"))
     memories = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.ceil(F.length("text") / 4).alias("tokens"))
     turns = e.where("vec_id % 100 = 0").select((k % 2).alias("session"), F.col("vec_id").alias("turn_id"), F.timestamp_seconds(400 * k * k).alias("ts"), F.col("embedding").alias("vector"))
-    found = recall.session_recall(recall.with_candidates(turns, memories, 0.2), least=0.2, tokens=1_500)
+    found = recall.session_recall(recall.with_candidates(turns, memories, 0.2, recall.wanted_candidates(turns)), least=0.2, tokens=1_500)
     return found.select("session", "turn_id", "shifted", F.round("drift", 6).alias("drift"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "tokens")

@@ -12,7 +12,7 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -65,11 +65,26 @@ class Session:
         return shifted, drift, ids, used
 
 
-def with_candidates(turns: DataFrame, memories: DataFrame, least: float = LEAST) -> DataFrame:
+def wanted_candidates(turns: DataFrame, rows: int = MOST_ROWS, idle: int = IDLE) -> DataFrame:
+    """``(query_id, wanted)``: how many candidates of a turn can matter.  Each turn since the
+    session's last pause has recalled ``rows`` at most, and this one takes as many more."""
+    own = Window.partitionBy("session").orderBy("ts", "turn_id")
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+    begun = turns.where("session is not null").select("session", "turn_id", "ts", at.alias("at"))
+    begun = begun.withColumn("run", F.coalesce((F.col("at") - F.lag("at").over(own) > idle).cast("int"), F.lit(0)))
+    begun = begun.withColumn("run", F.sum("run").over(own))
+    number = F.row_number().over(Window.partitionBy("session", "run").orderBy("ts", "turn_id"))
+    return begun.select(F.col("turn_id").cast("long").alias("query_id"), (number.cast("long") * rows).alias("wanted"))
+
+
+def with_candidates(turns: DataFrame, memories: DataFrame, least: float = LEAST, wanted: DataFrame | None = None) -> DataFrame:
     """Turns (session, turn_id, ts, vector) with ``candidates``: the rows (id, vector, tokens)
     of at least ``least``, best first, ties by id; as many as there are, since what a session
-    has recalled is passed over."""
+    has recalled is passed over, or as many as ``wanted`` (query_id, wanted) says."""
     found = block_search(turns.select(F.col("turn_id").alias("id"), "vector"), memories.select("id", "vector"), "id", "vector", least)
+    if wanted is not None:
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        found = found.join(wanted, "query_id").withColumn("place", place).where("place <= wanted").drop("place", "wanted")
     found = found.join(memories.select("id", "tokens"), "id")
     order = F.struct((-F.col("score")).alias("s"), F.col("id").cast("long").alias("id"), F.col("tokens").cast("long").alias("tokens"))
     listed = found.groupBy("query_id").agg(F.array_sort(F.collect_list(order)).alias("l"))
