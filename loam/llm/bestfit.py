@@ -31,6 +31,8 @@ from loam.llm.tokenize import WordIds, encode_texts
 CAPACITY = 2048
 #: Pieces that one bucket of the ranking holds on average.
 BUCKET_ROWS = 10_000
+#: Bytes of text that a task encodes at once: what it holds for them is some forty times as much.
+SLICE_BYTES = 2 << 20
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -54,7 +56,7 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     def cut(batches):
         known = WordIds(tokenizer_path)
         for whole in batches:
-            for batch in text_slices(whole, "text", 8 << 20):
+            for batch in text_slices(whole, "text", SLICE_BYTES):
                 ids, upto = encode_texts(strings(batch.column("text")), known, end_id)
                 owner, number, start = piece_bounds(upto, capacity)
                 begin = upto[owner] + start

@@ -15,6 +15,9 @@ import pyarrow as pa
 
 from loam.llm.text import as_list, expand_ranges, split_words
 
+#: Words that are encoded at once.
+ENCODED = 4_096
+
 
 @lru_cache(maxsize=4)
 def load_tokenizer(path: str):
@@ -33,7 +36,7 @@ def id_type(path: str, *more: int) -> type:
 class WordIds:
     """Ids of words met before, up to ``most`` words; then it starts anew."""
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         self.path, self.most = path, most
         self.clear()
 
@@ -48,12 +51,14 @@ class WordIds:
             self.clear()
         missing = [w for w in words if w not in self.rows]
         if missing:
-            found = load_tokenizer(self.path).encode_batch_fast(missing, add_special_tokens=False)
-            ids = [e.ids for e in found]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+            sizes, tables = [self.sizes], [self.table]
+            for first in range(0, len(missing), ENCODED):  # an encoding takes far more room than its ids
+                found = load_tokenizer(self.path).encode_batch_fast(missing[first : first + ENCODED], add_special_tokens=False)
+                ids = [e.ids for e in found]
+                sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                tables.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
             self.rows.update(zip(missing, range(len(self.sizes), len(self.sizes) + len(missing)), strict=True))
-            self.sizes, self.table = np.concatenate([self.sizes, sizes]), np.concatenate([self.table, flat])
+            self.sizes, self.table = np.concatenate(sizes), np.concatenate(tables)
         row = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
         return self.table, (np.cumsum(self.sizes) - self.sizes)[row], self.sizes[row]
 
