@@ -8,8 +8,8 @@ while every word of the corpus keeps its count.
 
 Baum-Welch: each partition runs forward and backward over its documents, expected
 counts are summed by symbol across partitions, and the model is made anew.  The
-first model comes from a bounded sample; those after it from all training
-documents.  Texts are never cut: forward and backward run over each whole text, in
+first model comes from counts of neighbouring words in all training documents, those
+after it from the documents themselves.  Texts are never cut: forward and backward run over each whole text, in
 training and in scoring, and need about 60 bytes a word.
 """
 
@@ -25,17 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.sampling import first_by_hash
 from loam.llm.storage import Scratch
 from loam.llm.text import expand_ranges, split_words, strings, text_slices
 
 STATES = 12
 TOP_WORDS = 50_000
 TAIL_CLASSES = 256
-#: Passes of Baum-Welch over all training documents, and over the first sample.
-ROUNDS, SAMPLE_ROUNDS = 2, 15
-#: The bounded sample that the first model is made from: documents and bytes of text.
-SAMPLE_DOCS, SAMPLE_BYTES = 2_000, 4 << 20
+#: Passes of Baum-Welch over all training documents, and over the table of neighbours.
+ROUNDS, PAIR_ROUNDS = 2, 200
+#: Words whose neighbours are counted; all others count as one.
+PAIR_WORDS = 500
 #: Words over so many characters are known by a digest, so that tables stay small.
 WORD_CHARS = 64
 #: Texts are trained on with others of like length, so many tokens at a time: classes of
@@ -220,17 +219,70 @@ def model_from(starts: np.ndarray, moves: np.ndarray, emitted: np.ndarray) -> Mo
     return Model(start / start.sum(), move / move.sum(1, keepdims=True), emitted / emitted.sum(0))
 
 
-def first_model(texts: list[str], vocabulary: Vocabulary, states: int = STATES) -> Model:
-    """Baum-Welch on a sample, begun with each document in a state drawn at random."""
-    symbols, offsets, *_ = _symbols(pa.array(texts, pa.string()), vocabulary)
+def pair_words(vocabulary: Vocabulary) -> tuple[list[str], np.ndarray]:
+    """The most frequent words, and each symbol's class: 0 the end, then these words, then
+    all others."""
+    by_count = sorted((-vocabulary.counts[k], w) for w, k in vocabulary.rows.items() if not w.startswith("\0"))[:PAIR_WORDS]
+    words = [w for _, w in by_count]
+    classes = np.full(vocabulary.symbols, len(words) + 1)
+    classes[END] = 0
+    for k, w in enumerate(words):
+        classes[vocabulary.rows[w]] = k + 1
+    return words, classes
+
+
+def count_pairs(docs: DataFrame, words: list[str]) -> np.ndarray:
+    """How often each class follows each other in all texts; in the last row how often it
+    comes first.  What leaves a task has at most the size of this table."""
+    classes = len(words) + 2
+    known = pa.array(words, pa.string())
+
+    def run(batches):
+        table = np.zeros((classes + 1) * classes, np.int64)
+        for whole in batches:
+            for batch in text_slices(whole, "text"):
+                found, offsets = split_words(pc.ascii_lower(strings(batch.column("text"))))
+                index = pc.fill_null(pc.index_in(found, value_set=known), len(words)).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+                n = len(offsets) - 1
+                after = np.full(len(index) + n, END, np.int64)
+                after[np.arange(len(index)) + np.repeat(np.arange(n), np.diff(offsets))] = index
+                before = np.concatenate(([classes], after[:-1]))
+                before[offsets[:-1] + np.arange(n)] = classes  # nothing comes before a text's first token
+                table += np.bincount(before * classes + after, minlength=len(table))
+        cells = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(table[cells])], names=["cell", "n"])
+
+    summed = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros((classes + 1) * classes)
+    table[summed["cell"].to_numpy()] = summed["n"].to_numpy()
+    return table.reshape(classes + 1, classes)
+
+
+def first_model(pairs: np.ndarray, classes: np.ndarray, vocabulary: Vocabulary, states: int = STATES) -> Model:
+    """A model of neighbours: expectation maximization on their counts, begun at random.
+    Symbols of one class share its emissions by their counts."""
     rng = np.random.default_rng(11)
-    drawn = np.repeat(rng.integers(0, states, len(texts)), np.diff(offsets))
-    emitted = np.zeros((vocabulary.symbols, states))
-    np.add.at(emitted, (symbols, drawn), 1)
-    model = model_from(np.ones(states), np.ones((states, states)) + 10 * states * np.eye(states), emitted)
-    for _ in range(SAMPLE_ROUNDS if texts else 0):
-        model = model_from(*expected_counts(symbols, offsets, model))
-    return model
+    follows, firsts = pairs[:-1], pairs[-1]
+    emit = rng.exponential(size=(len(firsts), states)) * (pairs.sum(0) + 0.1)[:, None]
+    emit /= emit.sum(0)
+    move = np.ones((states, states)) + 10 * states * np.eye(states)
+    move /= move.sum()
+    start = np.full(states, 1 / states)
+    for _ in range(PAIR_ROUNDS if follows.any() else 0):
+        share = follows / (emit @ move @ emit.T + 1e-30)
+        seen = emit * (share @ emit @ move.T + share.T @ emit @ move) + 1e-6
+        move = move * (emit.T @ share @ emit) + 1e-6
+        move, emit = move / move.sum(), seen / seen.sum(0)
+        begun = start * emit
+        start = ((firsts / (begun.sum(1) + 1e-30)) @ begun) + 1e-6
+        start /= start.sum()
+    begun = start * emit
+    begun *= (firsts / (begun.sum(1) + 1e-30))[:, None]
+    share = follows / (emit @ move @ emit.T + 1e-30)
+    seen = begun + emit * (share.T @ emit @ move)
+    weights = np.r_[vocabulary.counts, np.maximum(vocabulary.class_total, 0.5)]
+    weights = weights / np.maximum(np.bincount(classes, weights, minlength=len(firsts)), 1e-30)[classes]
+    return model_from(begun.sum(0), move * (emit.T @ share @ emit), seen[classes] * weights[:, None])
 
 
 def next_model(docs: DataFrame, vocabulary: Vocabulary, model: Model) -> Model:
@@ -336,9 +388,8 @@ def fold(doc_id):
 def fit(train: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> tuple[DataFrame, Vocabulary, Model]:
     counts = Scratch(train.sparkSession, "hmm").keep(count_words(train), "word-counts")
     vocabulary = vocabulary_of(counts, train.count())
-    drawn = first_by_hash(train.select("doc_id", "text"), SAMPLE_DOCS, SAMPLE_BYTES)
-    sample = [r["text"] for r in drawn.orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE_DOCS).collect()]
-    model = first_model(sample, vocabulary, states)
+    words, classes = pair_words(vocabulary)
+    model = first_model(count_pairs(train, words), classes, vocabulary, states)
     for _ in range(rounds):
         model = next_model(train, vocabulary, model)
     return counts, vocabulary, model
