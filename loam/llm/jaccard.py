@@ -251,16 +251,19 @@ def _links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, index: Callable[
     links.append(scratch.keep(_verified(pairs, sets), "links-heads"))
     scratch.drop("heads")
 
-    done, most = [near, pairs], MEMBERS
+    done, most, undecided = [near, pairs], MEMBERS, places
     for turn in count():
-        mixed = _mixed(scratch, places, _union(links), most, turn)
+        mixed = _mixed(scratch, undecided, _union(links), most, turn)
+        if turn:
+            scratch.drop(f"mixed-{turn - 1}")
+        # Components only grow together: a shingle whose sets are in one needs no further look.
+        undecided = mixed.select(*places.columns)
         largest = mixed.agg(F.max("members")).first()[0]
         if largest is None:
             break
         rest = _across(mixed).join(_union(done), ["a", "b"], "left_anti")
         done.append(scratch.keep(rest, f"rest-{turn}"))
         links.append(scratch.keep(_verified(done[-1], sets), f"links-rest-{turn}"))
-        scratch.drop(f"mixed-{turn}")
         if largest <= most:
             break
         most *= MORE
