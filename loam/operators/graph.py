@@ -83,8 +83,10 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dbscan(pairs: DataFrame, nodes: DataFrame, min_points: int = 3) -> DataFrame:
     """``(node, role, cluster)`` from the pairs within reach: cores have at least
     ``min_points`` neighbours, clusters are components of cores named by their
-    smallest, a border node joins the smallest cluster it touches."""
-    both = pairs.select("src", "dst").unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    smallest, a border node joins the smallest cluster it touches.  The pairs are made once
+    and written: they are read many times."""
+    pairs = checkpointed(pairs.select("src", "dst"))
+    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     cores = both.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select(F.col("src").alias("node"))
     inner = pairs.join(cores.withColumnRenamed("node", "src"), "src", "left_semi").join(cores.withColumnRenamed("node", "dst"), "dst", "left_semi")
     joined = cores.join(components(inner), "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
