@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from loam.operators import graph
+from loam.operators import communities, graph
 
 
 @pytest.fixture
@@ -25,3 +25,12 @@ def test_dbscan_makes_its_pairs_once(spark, counted):
     found = {r["node"]: (r["role"], r["cluster"]) for r in graph.dbscan(pairs, spark.range(1, 9).withColumnRenamed("id", "node")).collect()}
     assert found == {1: ("core", 1), 2: ("core", 1), 3: ("core", 1), 4: ("core", 1), 5: ("border", 1)} | {k: ("noise", None) for k in (6, 7, 8)}
     assert met.value == 8
+
+
+def test_louvain_makes_its_pairs_once(spark, counted, monkeypatch):
+    met, table = counted
+    monkeypatch.setattr(communities, "MOST_LEVELS", 1)
+    monkeypatch.setattr(communities, "MOST_ROUNDS", 1)
+    pairs = table([(1, 2, 1.0), (4, 5, 1.0)], "a long, b long, w double")
+    assert {r["node"]: r["community"] for r in communities.louvain(pairs).collect()} == {1: 1, 2: 1, 4: 4, 5: 4}
+    assert met.value == 2
