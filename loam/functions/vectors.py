@@ -60,6 +60,11 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return flat.reshape(len(vectors), -1)
 
 
+def rounded(scores: np.ndarray, places: int = 6) -> np.ndarray:
+    """Rounded as SQL does, halves away from zero."""
+    return np.copysign(np.floor(np.abs(scores) * 10.0**places + 0.5) / 10.0**places, scores)
+
+
 def _first_k(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Which of each column's scores are its ``k`` largest; ties go to the smaller id."""
     if len(ids) <= k:
@@ -72,7 +77,7 @@ def _first_k(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def block_search(
-    queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, min_score: float | None = None, k: int | None = None, group: str | None = None
+    queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, min_score: float | None = None, k: int | None = None, group: str | None = None, places: int | None = None
 ) -> DataFrame:
     """``(query_id, id, score)``: cosine of every query with every row, in blocks.
 
@@ -80,8 +85,8 @@ def block_search(
     refused beyond QUERY_BYTES.  Each block of rows is multiplied with them and keeps
     what reaches ``min_score``, or per query its best ``k``; ties go to the smaller id.
     ``group``: a column of the rows, which comes too; the best ``k`` are then those of
-    each of its values, so no more pairs than these leave a task.  Vectors of several
-    sizes are compared each with those of its own; invalid ones are left out.
+    each of its values, so no more pairs than these leave a task.  ``places``: scores are rounded
+    before they are compared.  Vectors of several sizes are compared each with those of its own; invalid ones are left out.
     """
     kind = dict(rows.dtypes)[group] if group else None
     good = queries.where(valid_vector(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
@@ -108,6 +113,7 @@ def block_search(
             some = max(1, CELLS // max(1, len(ids)))
             for first in range(0, len(names), some):  # so many queries at a time as keep the scores small
                 scores = vectors @ matrix[first : first + some].T
+                scores = scores if places is None else rounded(scores, places)
                 keep = np.ones_like(scores, bool) if min_score is None else scores >= min_score
                 if k is not None:
                     best = np.zeros_like(keep)
