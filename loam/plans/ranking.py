@@ -112,10 +112,12 @@ def code_rrf(spark, sf_dir):
 , m AS (SELECT h.query_id, h.id, s, coalesce(0.3 + 0.6 * quality, 0.5) AS importance, coalesce(toxic, 0) AS toxic FROM hits h LEFT JOIN labels l ON l.doc_id = h.id)
 SELECT query_id, id, round((s * 0.85 + importance * 0.15) * (CASE WHEN importance < 0.35 THEN 0.4 ELSE 1.0 END) * (CASE toxic WHEN 1 THEN 0.15 ELSE 1.0 END), 6) AS score FROM m""")
 def importance_multiplier_blend(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")
-    importance = F.coalesce(0.3 + 0.6 * F.col("quality"), F.lit(0.5))
-    sentiment = F.when(F.col("toxic") == 1, 0.15).otherwise(1.0)
-    found = _hits(spark, sf_dir).join(labels, "id", "left")
+    # Quality, 0 or 1, and toxicity come with a hit as one number; without a label it is null.
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"), (2 * F.col("quality") + F.coalesce("toxic", F.lit(0))).alias("marks"))
+    rows = table(spark, sf_dir, "embeddings").join(marks, "vec_id", "left")
+    importance = F.coalesce(0.3 + 0.6 * F.floor(F.col("marks") / 2), F.lit(0.5))
+    sentiment = F.when(F.col("marks") % 2 == 1, 0.15).otherwise(1.0)
+    found = _hits(spark, sf_dir, rows=rows, group="marks")
     return found.select("query_id", "id", F.round(fusion.blend(F.col("score"), importance, sentiment), 6).alias("score"))
 
 
